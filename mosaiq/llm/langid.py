@@ -91,13 +91,13 @@ def fit_languages(docs: DataFrame, dims: int = 1024, seed: int = 8) -> dict[str,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in text_blocks(batches):
+            by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                if len(codes := trigrams(text)):
-                    n = total.setdefault(lang, np.zeros(SLOTS**3, np.int32))
-                    if len(codes) < 4096:
-                        np.add.at(n, codes, 1)
-                    else:
-                        n += np.bincount(codes, minlength=SLOTS**3).astype(np.int32)
+                by_lang.setdefault(lang, []).append(trigrams(text))
+            for lang, codes in by_lang.items():
+                at, n = np.unique(np.concatenate(codes), return_counts=True)
+                if len(at):
+                    total.setdefault(lang, np.zeros(SLOTS**3, np.int64))[at] += n
         for lang, n in total.items():
             at = np.flatnonzero(n)
             v = space(dims, seed).bundle(at, n[at])
