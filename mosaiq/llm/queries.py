@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, tokencount, warc
+from . import langid, packing, quality, setjoin, tokencount, warc
 from .common import Scratch
 
 
@@ -21,6 +21,10 @@ def held(column: str, by: int, rest: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % by == rest, F.lit(False))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"), 5, 80)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
     pages = table(spark, sf_dir, "pages")
@@ -49,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op4_quality, op8_language_id, op9_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_warc, op4_quality, op8_language_id, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
