@@ -10,6 +10,8 @@ ranges of ranks among the pieces of a length to bins. Its size depends on the ca
 from __future__ import annotations
 
 import bisect
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,38 +25,74 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, batch, text_blocks
 from .tokencount import tokenizer
-from .words import as_bytes, ranges, segment, word_hashes
+from .words import U, Words, as_bytes, ranges, word_hashes
 
 
-class WordIds:
-    """Ids of white-space-separated words, each encoded by the library once and then looked up.
+#: The pre-tokenizer's pattern for which texts may be cut as units() does.
+CUTTABLE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 ASCII punctuation but the apostrophe, 2 ASCII letter or digit, 3 other
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 1
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = 2
+
+
+def units(texts: list[bytes], whole: bool) -> Words:
+    """Parts of texts whose ids, one after the other, are the texts' ids.
 
-    The tokenizer's pre-tokenizer splits at all white space and its normalizer never looks across it, so a
-    text's ids are those of its words, one after the other. The table starts anew at ``most`` words.
+    Cuts lie at white space and, unless ``whole``, between ASCII punctuation and ASCII letters or digits: no
+    piece of the pattern, no contraction and no composed character runs over these. ASCII capitals become
+    small where an ASCII character follows (else a combining mark might).
     """
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    kind = _KIND[data]
+    left, right = kind[:-1], kind[1:]
+    change = (left == 0) != (right == 0)
+    if not whole:
+        change |= ((left == 1) & (right == 2)) | ((left == 2) & (right == 1))
+        capital = np.flatnonzero((data[:-1] - 65 < 26) & (data[1:] < 128))
+        data = data.copy()
+        data[capital] += 32
+    cut = np.flatnonzero(change)
+    start, end = cut[right[cut] != 0] + 1, cut[left[cut] != 0] + 1
+    at = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return Words(data, start, end, np.searchsorted(start, at), at)
+
+
+class WordIds:
+    """Ids of units, each encoded by the library and kept in a table with one place for each low part of a hash."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.tok, self.most = tokenizer(path), most
+    def __init__(self, path: str, bits: int = 20, most: int = 6_000_000):
+        self.tok, self.most, self.mask = tokenizer(path), most, U(2**bits - 1)
+        made = json.loads(self.tok.to_str())
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.cuttable = [x.get("pattern", {}).get("Regex") for x in steps][:1] == [CUTTABLE]
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [x["content"].encode() for x in made["added_tokens"]]
+        self.keys, self.rows = np.zeros(2**bits, U), np.zeros(2**bits, np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys[:] = 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.at, self.n, self.many = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
     def encode(self, texts: list[bytes], last: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each followed by ``last``; the texts' starts and the end."""
-        w = segment(texts, lower=False)
-        keys, sample, which = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.most:
+        if not self.cuttable:
+            each = [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in each for i in [*ids, last]], np.uint32), np.cumsum([0, *(len(x) + 1 for x in each)])
+        if self.used > self.most:
             self.clear()
-        keys = keys.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for k, e in zip(part, self.tok.encode_batch_fast([w.bytes_of(sample[k]).decode() for k in part], add_special_tokens=False), strict=True):
-                self.add(keys[k], e.ids)
-        rows = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[which]
+        w = units(texts, any(x in t for t in texts for x in self.special))
+        keys, sample, which = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        place = (keys & self.mask).astype(np.int64)
+        rows = np.where(self.keys[place] == keys, self.rows[place], -1)
+        new = np.flatnonzero(rows < 0)
+        rows[new] = self.add([w.bytes_of(k) for k in sample[new].tolist()])
+        self.keys[place[new]], self.rows[place[new]] = keys[new], rows[new]
+        rows = rows[which]
         n = self.n[rows]
         total = np.concatenate([[0], np.cumsum(n)])[w.first] + np.arange(len(w.first))
         out = np.full(total[-1], last, np.uint32)
@@ -63,15 +101,42 @@ class WordIds:
         out[keep] = self.ids[ranges(self.at[rows], n)]
         return out, total
 
-    def add(self, key: int, ids: list[int]) -> None:
-        row = self.known[key] = len(self.known)
-        if row >= len(self.at):
-            self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
-        while self.used + len(ids) > len(self.ids):
+    def add(self, parts: list[bytes]) -> np.ndarray:
+        """Encode units and keep their ids; their rows. Units of letters alone are encoded many in one text."""
+        text = [p.decode() for p in parts]
+        plain = [k for k, t in enumerate(text) if t.isalpha() and unicodedata.is_normalized("NFC", t)]
+        rest = sorted(set(range(len(text))).difference(plain))
+        order, ids, count = [], [], []
+        lots = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        for lot in lots:
+            e = self.tok.encode_batch_fast([" ".join(text[k] for k in lot)], add_special_tokens=False)[0]
+            got = np.array(e.ids, np.int64)
+            stop = np.flatnonzero(self.ends[got])
+            if len(stop) != len(lot) or stop[-1] != len(got) - 1:
+                rest += lot  # a letter that the library holds for none: each by itself
+                continue
+            order += lot
+            ids.append(got)
+            count.append(np.diff(stop, prepend=-1))
+        if rest:
+            each = [e.ids for e in self.tok.encode_batch_fast([text[k] for k in rest], add_special_tokens=False)]
+            order += rest
+            ids.append(np.array([i for x in each for i in x], np.int64))
+            count.append(np.array([len(x) for x in each]))
+        if not order:
+            return np.empty(0, np.int64)
+        flat, n = np.concatenate(ids), np.concatenate(count)
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.at[row], self.n[row] = self.used, len(ids)
-        self.used += len(ids)
+        while self.many + len(n) > len(self.n):
+            self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
+        rows = np.empty(len(n), np.int64)
+        rows[order] = self.many + np.arange(len(n))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.n[self.many : self.many + len(n)] = n
+        self.at[self.many : self.many + len(n)] = self.used + np.cumsum(n) - n
+        self.used, self.many = self.used + len(flat), self.many + len(n)
+        return rows
 
 
 _encoders: dict[str, WordIds] = {}
