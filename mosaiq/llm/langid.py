@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch, text_blocks
+from .common import text_blocks
 
 SLOTS = 128
 _tables: dict[str, np.ndarray] = {}
@@ -111,14 +112,16 @@ def fit_languages(docs: DataFrame, dims: int = 1024, seed: int = 8) -> dict[str,
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if v.any()}
 
 
-def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = 1024, seed: int = 8) -> DataFrame:
-    """Per row: doc_id, lang_pred, score (the cosine, 0 at least).
+def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = 1024, seed: int = 8, keep_text: bool = False) -> DataFrame:
+    """Per row: doc_id, lang_pred, score (the cosine, 0 at least); with ``keep_text`` all of its columns too.
 
     ``und`` with score 0 for a null text, one without a letter, or if no language was learned; of equal
-    cosines the first language in order. Rows are independent; other columns are ignored.
+    cosines the first language in order. Rows are independent; other columns are ignored, or passed on, but
+    for those named lang_pred and score, which are replaced.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float64).reshape(-1, dims)
+    docs = docs.drop("lang_pred", "score") if keep_text else docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    passed = docs.columns if keep_text else ["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = space(dims, seed)
@@ -135,6 +138,7 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dims:
                 cos = matrix @ v / (np.linalg.norm(v) or 1)
                 lang.append(names[k := int(cos.argmax())])
                 score.append(min(1.0, max(0.0, float(cos[k]))))
-            yield batch(schema, doc_id=b.column("doc_id"), lang_pred=lang, score=score)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*passed, "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
