@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neighbours, packing, quality, setjoin, substring, tiling, tokencount, warc
+from . import blocks, langid, neighbours, packing, quality, setjoin, substring, tiling, tokencount, warc
 from .common import Scratch
 
 
@@ -41,6 +41,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -65,5 +69,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_warc, op3_substring_dedup, op4_quality, op6_embedding_dedup, op7_decontamination, op8_language_id, op9_packing, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_warc, op3_substring_dedup, op4_quality, op5_main_text, op6_embedding_dedup, op7_decontamination, op8_language_id, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
