@@ -398,7 +398,9 @@ def maximum(x, y):
     return F.greatest(c(x), c(y))
 
 
-def minimum(x, y):
+def minimum(x, y, exact: bool = False):
+    if exact:
+        return F.least(c(x), c(y))
     return F.when(_either(x, y), F.lit(NAN)).otherwise(F.least(c(x), c(y)))
 
 

@@ -42,7 +42,7 @@ def _make(name: str, many: int):
             arrays = [a.astype(t) for a in arrays]
         elif name in FLAGGED:
             g = functools.partial(f, boolean=t == "bool")
-        elif name in ("floordiv", "remainder", "fmod") and ty.is_exact(t):
+        elif name in ("floordiv", "remainder", "fmod", "minimum") and ty.is_exact(t):
             g = functools.partial(f, exact=True)
         else:
             g = f
