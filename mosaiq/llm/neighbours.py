@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch, shuffle_partitions
 from .graph import components
+from .words import U, mix
 
 EDGE = "a bigint, b bigint, cos double"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cos", pa.float64())])
 
 
+def nodes_type(nodes: DataFrame) -> pa.DataType:
+    return pa.float32() if nodes.schema["v"].dataType.elementType.simpleString() == "float" else pa.float64()
+
+
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Vectors of equal length, as rows of length one."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -55,10 +60,10 @@ def pairwise(x: np.ndarray, ids: np.ndarray, keep: int, threshold: float, floor:
     return low[first], high[first], c[first]
 
 
-def block_edges(nodes: DataFrame, sizes: DataFrame, dims: int, turn: int, lot: int, keep: int, threshold: float, floor: float) -> DataFrame:
-    """Edges inside blocks of about ``lot`` nodes of one group and one side of this turn's hyperplanes."""
+def blocked(nodes: DataFrame, sizes: DataFrame, dims: int, turn: int, lot: int) -> DataFrame:
+    """node, block, v: blocks hold about ``lot`` nodes of one group and one side of this turn's hyperplanes."""
     planes = np.random.default_rng(600 + turn).normal(size=(dims, 40))
-    code_schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("code", pa.int64()), ("v", pa.list_(pa.float64()))])
+    code_schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("code", pa.int64()), ("v", pa.list_(nodes_type(nodes)))])
 
     def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(40, dtype=np.int64)
@@ -70,17 +75,21 @@ def block_edges(nodes: DataFrame, sizes: DataFrame, dims: int, turn: int, lot: i
                 code = ((x @ planes > 0) * weight).sum(1) & ((1 << bits) - 1)
                 yield batch(code_schema, node=b.column("node"), grp=b.column("grp"), n=n, code=code, v=b.column("v"))
 
-    coded = nodes.join(sizes, "grp").select("node", "grp", "n", "v").mapInArrow(codes, "node bigint, grp bigint, n bigint, code bigint, v array<double>")
+    coded = nodes.join(sizes, "grp").select("node", "grp", "n", "v").mapInArrow(codes, f"node bigint, grp bigint, n bigint, code bigint, v {nodes.schema['v'].dataType.simpleString()}")
     many = coded.groupBy("grp", "code").agg(F.count("*").alias("m"))
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("m") / (2 * lot))))
-    lots = coded.join(many, ["grp", "code"]).select("grp", "code", part.alias("part"), "node", "v")
+    return coded.join(many, ["grp", "code"]).select("node", F.xxhash64("grp", "code", part).alias("block"), "v")
+
+
+def block_edges(blocks: DataFrame, keep: int, threshold: float, floor: float) -> DataFrame:
+    """Edges inside the blocks."""
 
     def inside(table: pa.Table) -> pa.Table:
         x = unit_rows(table.column("v").combine_chunks())
         a, b, c = pairwise(x, table.column("node").to_numpy(), keep, threshold, floor)
         return pa.table({"a": a, "b": b, "cos": c}, schema=EDGES)
 
-    return lots.groupBy("grp", "code", "part").applyInArrow(inside, EDGE)
+    return blocks.groupBy("block").applyInArrow(inside, EDGE)
 
 
 def trimmed(edges: DataFrame, keep: int, threshold: float) -> DataFrame:
@@ -105,18 +114,39 @@ def trimmed(edges: DataFrame, keep: int, threshold: float) -> DataFrame:
     return both.repartition(parts, "u").sortWithinPartitions("u", F.desc("cos"), "v").mapInArrow(run, "u bigint, v bigint, cos double")
 
 
-def neighbours_of_neighbours(lists: DataFrame, nodes: DataFrame, keep: int, threshold: float, floor: float) -> DataFrame:
-    """Pairs of neighbours of one node that are near: each node's lot is cut where its list is long."""
-    vectors = nodes.select(F.col("node").alias("v"), F.col("v").alias("x"))
-    rows = lists.join(vectors, "v").select("u", "v", "x").repartition(shuffle_partitions(lists.sparkSession), "u").sortWithinPartitions("u", "v")
+def neighbours_of_neighbours(lists: DataFrame, nodes: DataFrame, blocks: DataFrame, threshold: float, floor: float, often: int = 32) -> DataFrame:
+    """Pairs of neighbours of one node that have shared no block and are near.
+
+    ``blocks`` has node, in: its block of each turn. A node whose list lies in one block has nothing to compare. In a long
+    list a pair is left to about ``often`` of the nodes that could compare it, chosen by a hash.
+    """
+    placed = lists.join(blocks.withColumnRenamed("node", "v"), "v")
+    mixed = placed.groupBy("u").agg((F.min(F.col("in")[0]) != F.max(F.col("in")[0])).alias("mixed")).where("mixed").select("u")
+    rows = placed.join(mixed, "u", "left_semi").join(nodes.select(F.col("node").alias("v"), F.col("v").alias("x")), "v")
+    rows = rows.select("u", "v", "in", "x").repartition(shuffle_partitions(lists.sparkSession), "u").sortWithinPartitions("u", "v")
+
+    def local(u: int, v: np.ndarray, at: np.ndarray, x: np.ndarray):
+        new = np.triu(np.ones((len(v), len(v)), bool), 1)
+        for turn in at.T:
+            new &= turn[:, None] != turn[None]
+        p, q = np.nonzero(new)
+        share = max(1, len(v) // often)
+        if share > 1:
+            h = mix((v[p].astype(U) * U(0x9E3779B97F4A7C15)) ^ v[q].astype(U))
+            mine = h % U(share) == mix(np.array([u], np.int64).astype(U))[0] % U(share)
+            p, q = p[mine], q[mine]
+        c = np.concatenate([(x[p[i : i + 65536]] * x[q[i : i + 65536]]).sum(1) for i in range(0, len(p), 65536)] or [np.empty(0)])
+        ok = c >= (floor if len(v) <= often else threshold)
+        return v[p[ok]], v[q[ok]], c[ok]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def lots(table: pa.Table) -> pa.RecordBatch:
             u, v, x = table.column("u").to_numpy(), table.column("v").to_numpy(), unit_rows(table.column("x").combine_chunks())
+            at = table.column("in").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
             edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1], [True]]))
-            found = [pairwise(x[i:j], v[i:j], keep, threshold, floor) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
+            found = [local(int(u[i]), v[i:j], at[i:j], x[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
             a, b, c = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(3))
             if len(a):
                 _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
@@ -162,7 +192,7 @@ def audit(nodes: DataFrame, edges: DataFrame, threshold: float, sample: int) ->
     return got.k / got.n if got.n else 1.0
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot: int = 1000, floor: float = 0.8, turns: int = 2, rounds: int = 4, recall: float = 0.99, most_turns: int = 6, sample: int = 256) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot: int = 1000, floor: float = 0.8, turns: int = 3, rounds: int = 4, recall: float = 0.99, most_turns: int = 6, sample: int = 256) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept, from (vec_id, embedding, label).
 
     Vectors link if labels are equal and not null and their cosine is at least ``threshold``. Vectors that are
@@ -172,7 +202,9 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot:
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("label"))
+    rows = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").alias("label"))
+    if rows.schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     sound = F.expr("vec_id is not null and label is not null and v is not null and size(v) > 0 and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     marked = scratch.save(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), "rows")
     valid = marked.where("sound").select("vec_id", F.xxhash64("label", F.size("v")).alias("grp"), "v")
@@ -181,24 +213,28 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot:
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
     by_size = [r.s for r in nodes.select(F.size("v").alias("s")).distinct().collect()]
 
-    def blocks(turn: int) -> DataFrame:
+    def turn_blocks(turn: int) -> DataFrame:
         out = None
         for dims in by_size:  # vectors of each length by themselves
-            got = block_edges(nodes.where(F.size("v") == dims), sizes, dims, turn, lot, keep, threshold, floor)
+            got = blocked(nodes.where(F.size("v") == dims), sizes, dims, turn, lot)
             out = got if out is None else out.unionByName(got)
-        return out
+        return scratch.save(out, f"blocks{turn}")
 
     if not by_size:
         return marked.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    edges, turn = None, 0
+    edges, turn, places = None, 0, None
     while True:
         for _ in range(turns if edges is None else 1):
-            new = scratch.save(blocks(turn), f"blocks{turn}")
+            own = turn_blocks(turn)
+            new = block_edges(own, keep, threshold, floor)
             edges, turn = new if edges is None else edges.unionByName(new), turn + 1
+            here = own.select("node", F.array("block").alias("in"))
+            places = here if places is None else places.join(here.withColumnRenamed("in", "_more"), "node").select("node", F.concat("in", "_more").alias("in"))
+        places = scratch.save(places, "places")
         edges = scratch.save(edges.groupBy("a", "b").agg(F.max("cos").alias("cos")), "graph")
         links = edges.where(F.col("cos") >= threshold).count()
         for _ in range(rounds):
-            more = neighbours_of_neighbours(scratch.save(trimmed(edges, keep, threshold), "lists"), nodes, keep, threshold, floor)
+            more = neighbours_of_neighbours(scratch.save(trimmed(edges, keep, threshold), "lists"), nodes, places, threshold, floor)
             edges = scratch.save(edges.unionByName(more).groupBy("a", "b").agg(F.max("cos").alias("cos")), "graph")
             before, links = links, edges.where(F.col("cos") >= threshold).count()
             if links == before:
