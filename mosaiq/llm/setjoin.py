@@ -8,11 +8,15 @@ The plan, in the order of its steps:
    a task. A document with more than 20 % of its shingles found in no other document is settled: it links with
    none. The others go on.
 2. Documents of equal sets are one class, represented by their smallest id.
-3. Answers of similar sets: representatives that share a min-hash are compared with the smallest of them, the
-   pivot. Who links with a pivot joins its family, keeps only its difference from the pivot's set, and needs
+3. Answers of similar sets: representatives that share a min-hash are compared with a few of them, the
+   pivots (the smallest, and the first by hashed ids). Who links with a pivot joins its family, keeps only its difference from the pivot's set, and needs
    no other links inside the family.
-4. Inverted lists over prefixes, sorted by size and position, are read in blocks; a block of the list is skipped
-   where its sizes or positions rule out the overlap, or where it lies in the family at hand.
+4. Prefixes are taken with common hashes last: a bitmap of fixed size notes hashes that many families hold. Any
+   order that depends on the hash alone gives whole results, so bits shared by chance do no harm.
+   Inverted lists over prefixes, sorted by size and position, are read in blocks; a block of the list is skipped
+   where its sizes or positions rule out the overlap, or where it lies in the family at hand. Pairs whose parity
+   bitmaps differ in more bits than their sets may differ in elements are left out, by a short bitmap in the list and
+   by a longer one afterwards.
 5. Candidate pairs of different families are verified; a family member's overlap with a set is its pivot's
    overlap, computed once, corrected by the member's difference.
 6. Components of the links.
@@ -24,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +56,95 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-ZONED = "bucket int, doc_id bigint, size int, in_zone int, shared int, f1 bigint, f2 bigint, hashes binary, docs binary, many binary"
+COMMON_BITS, CLASS_BITS, PARITY_BITS, FOLD = 24, 24, 1024, 4
+
+
+def parity(h: np.ndarray) -> bytes:
+    """For each of PARITY_BITS slots whether an odd number of the hashes falls there.
+
+    Sets that differ in d elements have parities that differ in d bits at most.
+    """
+    n = np.bincount(((h >> U(20)) % U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def folded(column: pa.Array) -> np.ndarray:
+    """Parities of FOLD * 64 slots, as FOLD rows of signed numbers: slots fall together, so their parities add up."""
+    words = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1, FOLD)
+    return np.bitwise_xor.reduce(words, axis=1).view(np.int64).T
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame, percent: int, x: str, y: str) -> DataFrame:
+    """The pairs whose parities and sizes don't rule out a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in ("px", "py"))
+                n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("nx", "ny"))
+                ok = np.bitwise_count(p ^ q).sum(1) <= n + m - 2 * least_overlap(n, m, percent)
+                yield b.select([x, y]).filter(pa.array(ok))
+
+    small = sets.select("doc_id", "size", "parity")
+    both = pairs.select(x, y).join(small.toDF(x, "nx", "px"), x).join(small.toDF(y, "ny", "py"), y)
+    return both.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").mapInArrow(run, f"{x} bigint, {y} bigint")
+
+
+def prefix(h: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes in which a set must meet every set it links with: the first ones, the common ones last."""
+    k = len(h) - -(-percent * len(h) // 100) + 1
+    late = in_bitmap(h, common, COMMON_BITS)
+    if not late.any():
+        return h[:k]
+    light = h[~late]
+    return light[:k] if len(light) >= k else np.concatenate([light, h[late][: k - len(light)]])
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places for the values of the first column: set bits are gathered in words of 32."""
+    c = F.shiftrightunsigned(F.col(values.columns[0]), 7).bitwiseAND(F.lit(2**bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(31)).cast("int"))
+    words = values.select(F.shiftright(c, 5).alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(2 ** (bits - 5), "<u4")
+    for r in words.collect():  # 2**(bits - 5) rows at most
+        out[r.w] = r.bits
+    return out.view(np.uint8)
+
+
+def in_bitmap(x: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+    at = (x.view(U) >> U(7)) & U(2**bits - 1)
+    return ((held[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def common_hashes(sets: DataFrame, percent: int, most: int = 8, rounds: int = 2) -> np.ndarray:
+    """A bitmap of hashes that stand in more than ``most`` prefixes, and of several families; prefixes move on as it fills."""
+    common = np.zeros(2 ** (COMMON_BITS - 3), np.uint8)
+    for _ in range(rounds):
+        sent = sets.sparkSession.sparkContext.broadcast(common)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = [prefix(to_set(x.as_py()), sent.value, percent) for x in b.column("hashes")]
+                yield pa.RecordBatch.from_pydict({"h": np.concatenate(h or [np.empty(0, U)]).astype(np.int64), "family": pa.array(np.repeat(b.column("family").to_numpy(), [len(x) for x in h]), pa.int64())})
+
+        lists = sets.select("family", "hashes").mapInArrow(run, "h bigint, family bigint")
+        lists = lists.groupBy("h").agg(F.count("*").alias("n"), (F.min("family") != F.max("family")).alias("mixed")).where((F.col("n") > most) & F.col("mixed"))
+        before = common
+        common = common | bitmap(lists.select("h"), COMMON_BITS)
+        if (before == common).all():
+            break
+    return common
+
+
+ZONED = "bucket int, block bigint, doc_id bigint, size int, in_zone int, shared int, f1 bigint, f2 bigint, hashes binary, docs binary, many binary"
 
 
 def zoned(docs: DataFrame, n: int, buckets: int, zone: float) -> DataFrame:
     """Step 1: rows for documents (bucket null) and packed hashes (bucket given)."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int32()), ("in_zone", pa.int32()), ("shared", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("in_zone", pa.int32()), ("shared", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
     top = U(int(zone * 2**64))
 
-    def flush(ids, sets) -> Iterator[pa.RecordBatch]:
+    def flush(ids, sets, block: int) -> Iterator[pa.RecordBatch]:
         count = np.array([len(s) for s in sets])
         part = [s[: np.searchsorted(s, top)] for s in sets]
         per = np.array([len(p) for p in part])
@@ -71,7 +156,7 @@ def zoned(docs: DataFrame, n: int, buckets: int, zone: float) -> DataFrame:
         shared = np.bincount(doc, np.repeat(times > 1, times), len(sets)).astype(np.int32)
         prints = [fingerprint(s) for s in sets]
         none = [None] * len(sets)
-        yield batch(schema, bucket=none, doc_id=ids, size=count.astype(np.int32), in_zone=per.astype(np.int32), shared=shared, f1=[p[0] for p in prints], f2=[p[1] for p in prints], hashes=none, docs=none, many=none)
+        yield batch(schema, bucket=none, block=none, doc_id=ids, size=count.astype(np.int32), in_zone=per.astype(np.int32), shared=shared, f1=[p[0] for p in prints], f2=[p[1] for p in prints], hashes=none, docs=none, many=none)
         h, doc, many = h[head], doc[head], times > 1
         bucket = (h >> U(8)) % U(buckets)
         order = np.lexsort((doc, bucket))
@@ -79,7 +164,7 @@ def zoned(docs: DataFrame, n: int, buckets: int, zone: float) -> DataFrame:
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         cut = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEEP :]
         full = np.flatnonzero(np.diff(edge))
-        rows = {f.name: [None] * len(full) for f in schema} | {"bucket": full.astype(np.int32)}
+        rows = {f.name: [None] * len(full) for f in schema} | {"bucket": full.astype(np.int32), "block": np.full(len(full), block)}
         rows["hashes"] = [cut[edge[k] : edge[k + 1]].tobytes() for k in full]
         rows["docs"] = [doc[edge[k] : edge[k + 1]].tobytes() for k in full]
         rows["many"] = [np.packbits(many[edge[k] : edge[k + 1]]).tobytes() for k in full]
@@ -87,28 +172,29 @@ def zoned(docs: DataFrame, n: int, buckets: int, zone: float) -> DataFrame:
             yield batch(schema, **{k: v[i : i + 512] for k, v in rows.items()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        ids, sets, held, block = [], [], 0, TaskContext.get().partitionId() << 32
         for b in text_blocks(batches):
             ids += b.column("doc_id").to_pylist()
             sets += sets_of(as_bytes(b.column("text")), n)
             held += sum(len(s) for s in sets[-b.num_rows :])
             if held > 4_000_000:
-                yield from flush(ids, sets)
-                ids, sets, held = [], [], 0
+                yield from flush(ids, sets, block)
+                ids, sets, held, block = [], [], 0, block + 1
         if ids:
-            yield from flush(ids, sets)
+            yield from flush(ids, sets, block)
 
     return docs.mapInArrow(run, ZONED)
 
 
 def found_shared(blobs: DataFrame) -> DataFrame:
-    """doc_id, n: how many of a document's hashes that its own task thought single are held elsewhere."""
+    """doc_id, n: how many of a document's hashes that its own task thought single are held elsewhere.
+
+    A bucket answers each block with one row: the documents of its hashes that are shared.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        h, doc, many = [], [], []
-        for name, out in (("hashes", h), ("docs", doc), ("many", many)):
-            out += [x.as_py() for x in table.column(name)]
-        size = [len(x) // KEEP for x in h]
+        h, doc, many, block = ([x.as_py() for x in table.column(name)] for name in ("hashes", "docs", "many", "block"))
+        size = np.array([len(x) // KEEP for x in h])
         cut = np.frombuffer(b"".join(h), np.uint8).reshape(-1, KEEP)
         value = np.zeros((len(cut), 8), np.uint8)
         value[:, :KEEP] = cut
@@ -119,10 +205,17 @@ def found_shared(blobs: DataFrame) -> DataFrame:
         again = np.concatenate([[False], v[1:] == v[:-1]])
         shared = np.empty(len(v), bool)
         shared[order] = again | np.append(again[1:], False)
-        ids, n = np.unique(doc[shared & ~many], return_counts=True)
+        shared &= ~many
+        edge = np.concatenate([[0], np.cumsum(size)])
+        found = [doc[i:j][shared[i:j]].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table({"block": pa.array(block, pa.int64()), "docs": pa.array(found, pa.binary())}).filter(pa.array([bool(x) for x in found]))
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, n = np.unique(np.frombuffer(b"".join(x.as_py() for x in table.column("docs")), np.int64), return_counts=True)
         return pa.table({"doc_id": ids, "n": n.astype(np.int64)})
 
-    return blobs.select("bucket", "hashes", "docs", "many").groupBy("bucket").applyInArrow(run, "doc_id bigint, n bigint").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    found = blobs.select("bucket", "block", "hashes", "docs", "many").groupBy("bucket").applyInArrow(run, "block bigint, docs binary")
+    return found.groupBy("block").applyInArrow(count, "doc_id bigint, n bigint").groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 def to_set(data: bytes) -> np.ndarray:
@@ -139,7 +232,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def families(sets: DataFrame, percent: int, sketches: int = 3) -> DataFrame:
+def families(sets: DataFrame, percent: int, sketches: int = 3, pivots: int = 3) -> DataFrame:
     """Step 3: a, pivot (a > pivot), plus, minus: a's set is the pivot's, without minus and with plus; linked pairs only."""
     schema = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("plus", pa.binary()), ("minus", pa.binary())])
     key_schema = pa.schema([("a", pa.int64()), ("k", pa.int64())])
@@ -166,26 +259,27 @@ def families(sets: DataFrame, percent: int, sketches: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     each = sets.select("doc_id", "hashes").mapInArrow(keys, "a bigint, k bigint")
-    low = each.groupBy("k").agg(F.min("a").alias("pivot"), F.count("a").alias("n")).where("n > 1").select("k", "pivot")
-    pairs = each.join(low, "k").where("a <> pivot").select("a", "pivot").distinct()
-    hashes = sets.select("doc_id", "hashes", "size")
-    both = pairs.join(hashes.toDF("a", "ha", "na"), "a").join(hashes.toDF("pivot", "hp", "np"), "pivot")
-    fits = both.where(f"100 * least(na, np) >= {percent} * greatest(na, np)")
-    return fits.select("a", "pivot", "ha", "hp").mapInArrow(verify, "a bigint, pivot bigint, plus binary, minus binary")
+    orders = [F.min("a"), *(F.min_by("a", F.xxhash64("a", F.lit(j))) for j in range(1, pivots))]
+    chosen = each.groupBy("k").agg(F.array_distinct(F.array(*orders)).alias("pivots"), F.count("a").alias("n")).where("n > 1")
+    pairs = each.join(chosen, "k").select("a", F.explode("pivots").alias("pivot")).where("a <> pivot").select(F.greatest("a", "pivot").alias("a"), F.least("a", "pivot").alias("pivot")).distinct()
+    hashes = sets.select("doc_id", "hashes")
+    both = near_enough(pairs, sets, percent, "a", "pivot").join(hashes.toDF("a", "ha"), "a").join(hashes.toDF("pivot", "hp"), "pivot")
+    return both.select("a", "pivot", "ha", "hp").mapInArrow(verify, "a bigint, pivot bigint, plus binary, minus binary")
 
 
 def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Step 4: pairs a < b of different families that may link. ``sets`` has doc_id, family, size and hashes."""
-    entry_schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("family", pa.int64())])
+    """Step 4: pairs a < b of different families that may link. ``sets`` has doc_id, family, size, parity and hashes."""
+    sent = sets.sparkSession.sparkContext.broadcast(common_hashes(sets, percent))
+    entry_schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("family", pa.int64()), *((f"p{k}", pa.int64()) for k in range(FOLD))])
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [to_set(x.as_py()) for x in b.column("hashes")]
             size = np.array([len(x) for x in h], np.int64)
             many = size - -(-percent * size // 100) + 1
-            yield batch(entry_schema, h=np.concatenate([x[:k] for x, k in zip(h, many, strict=True)] or [np.empty(0, U)]).astype(np.int64), size=np.repeat(size, many).astype(np.int32), at=np.concatenate([np.arange(k) for k in many] or [[]]).astype(np.int32), doc_id=np.repeat(b.column("doc_id").to_numpy(), many), family=np.repeat(b.column("family").to_numpy(), many))
+            yield batch(entry_schema, h=np.concatenate([prefix(x, sent.value, percent) for x in h] or [np.empty(0, U)]).astype(np.int64), size=np.repeat(size, many).astype(np.int32), at=np.concatenate([np.arange(k) for k in many] or [[]]).astype(np.int32), doc_id=np.repeat(b.column("doc_id").to_numpy(), many), family=np.repeat(b.column("family").to_numpy(), many), **{f"p{k}": np.repeat(f, many) for k, f in enumerate(folded(b.column("parity")))})
 
-    def pairs(size, at, doc, family) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(size, at, doc, family, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a list that is sorted by size; blocks of it are skipped by size, position and family."""
         cut = list(range(0, len(size), block))
         low_at = [at[i : i + block].min() for i in cut]
@@ -206,8 +300,10 @@ def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
                 if i == j:
                     ok &= np.tri(ok.shape[0], k=-1, dtype=bool)
                 p, q = np.nonzero(ok)
-                if len(p):
-                    yield doc[i + p], doc[j + q]
+                apart = sum(np.bitwise_count(f[i + p] ^ f[j + q]).astype(np.int64) for f in bits)
+                near = apart <= size[i + p].astype(np.int64) + size[j + q] - 2 * need[p, q]
+                if near.any():
+                    yield doc[i + p[near]], doc[j + q[near]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -221,11 +317,11 @@ def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
 
         def lists(table: pa.Table) -> None:
             nonlocal held
-            h, size, at, doc, family = (table.column(c).to_numpy() for c in ("h", "size", "at", "doc_id", "family"))
+            h, size, at, doc, family, *bits = (table.column(c).to_numpy() for c in entry_schema.names)
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             for i, j in zip(head, np.append(head[1:], len(h)), strict=True):
                 if j - i > 1 and (j - i > 2 or family[i] != family[i + 1]):
-                    for a, b in pairs(size[i:j], at[i:j], doc[i:j], family[i:j]):
+                    for a, b in pairs(size[i:j], at[i:j], doc[i:j], family[i:j], [f[i:j].view(U) for f in bits]):
                         seen_a.append(np.minimum(a, b))
                         seen_b.append(np.maximum(a, b))
                         held += len(a)
@@ -249,10 +345,11 @@ def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
         if held:
             yield out()
 
-    each = sets.select("doc_id", "family", "hashes").mapInArrow(entries, "h bigint, size int, at int, doc_id bigint, family bigint")
+    ddl = "h bigint, size int, at int, doc_id bigint, family bigint" + "".join(f", p{k} bigint" for k in range(FOLD))
+    each = sets.select("doc_id", "family", "parity", "hashes").mapInArrow(entries, ddl)
     parts = shuffle_partitions(sets.sparkSession)
     ordered = each.repartition(parts, "h").sortWithinPartitions("h", "size", "at", "doc_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return near_enough(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), sets, percent, "a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -306,16 +403,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     open_rows = state.where("not settled")
     classes = scratch.save(open_rows.groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("class")), "classes")
 
-    set_schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("hashes", pa.binary())])
+    set_schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("parity", pa.binary()), ("hashes", pa.binary())])
+
+    sent = spark.sparkContext.broadcast(bitmap(classes.select(F.xxhash64("class")), CLASS_BITS))
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
+            b = b.filter(pa.array(in_bitmap(b.column("key").to_numpy(), sent.value, CLASS_BITS))).drop_columns(["key"])
+            if not b.num_rows:
+                continue
             sets = sets_of(as_bytes(b.column("text")), n)
             prints = [fingerprint(s) for s in sets]
-            yield batch(set_schema, doc_id=b.column("doc_id"), size=np.array([len(s) for s in sets], np.int32), f1=[p[0] for p in prints], f2=[p[1] for p in prints], hashes=[s.tobytes() for s in sets])
+            yield batch(set_schema, doc_id=b.column("doc_id"), size=np.array([len(s) for s in sets], np.int32), f1=[p[0] for p in prints], f2=[p[1] for p in prints], parity=[parity(s) for s in sets], hashes=[s.tobytes() for s in sets])
 
-    made = known.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(make, "doc_id bigint, size int, f1 bigint, f2 bigint, hashes binary")
-    sets = scratch.save(made.where("size > 0").dropDuplicates(["doc_id", "size", "f1", "f2"]).select("doc_id", "size", "hashes"), "sets")
+    # the bitmap keeps the texts of all classes and a few others; the join then drops these
+    made = known.withColumn("key", F.xxhash64("doc_id")).mapInArrow(make, "doc_id bigint, size int, f1 bigint, f2 bigint, parity binary, hashes binary")
+    made = made.where("size > 0").join(classes.select(F.col("class").alias("doc_id"), "size", "f1", "f2"), ["doc_id", "size", "f1", "f2"], "left_semi")
+    sets = scratch.save(made.groupBy("doc_id", "size", "f1", "f2").agg(F.first("parity").alias("parity"), F.first("hashes").alias("hashes")).drop("f1", "f2"), "sets")
     linked = scratch.save(families(sets, percent), "families")
     near = components(linked.select("a", F.col("pivot").alias("b")), scratch).toDF("doc_id", "family")
     grouped = scratch.save(sets.join(near, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id")), "grouped")
