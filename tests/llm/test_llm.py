@@ -279,7 +279,8 @@ def test_greedy_tiling_equals_brute_force():
 
 
 def test_language_id(spark):
-    rows = [(k, made(k, 12), "aa", "s", 0) for k in range(150)] + [(k, made(k, 12).translate(str.maketrans("aeiou", "yjwøå")), "bb", "s", 0) for k in range(150, 300)] + [(900, "x", None, "s", 0)]
+    rng, known = np.random.default_rng(8), {"aa": made(1, 60).split(), "bb": made(2, 60).split()}  # each language has its words
+    rows = [(k, " ".join(rng.choice(known[lang], 12)), lang, "s", 0) for k in range(300) for lang in [("aa", "bb")[k >= 150]]] + [(900, "x", None, "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
     model = langid.fit_languages(docs.where("doc_id % 3 <> 0"))
     got = {r.doc_id: r for r in langid.predict_languages(docs.withColumn("score", F.lit(1)), model).collect()}
