@@ -156,6 +156,13 @@ class Array:
     def __array__(self, dtype=None, copy=None):
         return self.numpy() if dtype is None else self.numpy().astype(dtype)
 
+    def __array_namespace__(self, *, api_version=None):
+        if api_version not in (None, "2025.12"):
+            raise ValueError(f"no version {api_version} of the array API")
+        from . import array_api
+
+        return array_api
+
     def tolist(self):
         return self.numpy().tolist()
 

@@ -206,3 +206,17 @@ def test_complex(spark):
     close(mq.angle(x), np.angle(z))
     close(x.real, z.real)
     close(mq.iscomplex(x), np.iscomplex(z))
+
+
+def test_array_api_namespace(spark):
+    xp = mq.array(A).__array_namespace__()
+    assert xp.arange(3).dtype == "int64" and xp.asarray([1.5]).dtype == "float64" and xp.zeros((2,)).dtype == "float64"
+    close(xp.sum(xp.asarray(A), axis=1, keepdims=True), A.sum(1, keepdims=True))
+    close(xp.equal(xp.asarray([1, 2]), xp.asarray([1, 3])), np.array([True, False]))
+    close(xp.cumulative_sum(xp.asarray([1.0, 2.0]), include_initial=True), [0, 1, 3])
+    close(xp.sort(xp.asarray(A), axis=0, descending=True), -np.sort(-A, 0))
+    close(xp.clip(xp.asarray(A), 0, 2), np.clip(A, 0, 2))
+    info = xp.__array_namespace_info__()
+    assert "float64" in info.dtypes(kind="real floating") and info.default_dtypes()["integral"] == "int64" and xp.isdtype("int8", "integral")
+    with pytest.raises(ValueError):
+        mq.array(A).__array_namespace__(api_version="1")
