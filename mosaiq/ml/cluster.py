@@ -53,8 +53,8 @@ class _KCluster(BaseEstimator, ClusteringMixin):
         out = chosen[picked]
         return out if len(out) == k else np.vstack([out, draw(k, seed + 99)])[:k]
 
-    def _update(self, labelled, centres):
-        raise NotImplementedError
+    def _step(self, rows, centres):
+        return self._update(assigned(rows, centres, self.metric), centres)
 
     def fit(self, x, oversampling=2, iter_multiplier=1):
         rows = vectors(x).cache()
@@ -62,7 +62,7 @@ class _KCluster(BaseEstimator, ClusteringMixin):
         self._n_iter = 0
         for _ in range(self.max_iter):
             self._n_iter += 1
-            new = self._update(assigned(rows, centres, self.metric), centres)
+            new = self._step(rows, centres)
             moved = float(((new - centres) ** 2).sum())
             centres = new
             if moved <= (self.tol or 0.0):
@@ -87,13 +87,18 @@ class KMeans(_KCluster):
     def __init__(self, n_clusters=8, init="random", max_iter=300, tol=1e-4, random_state=None):
         self.n_clusters, self.init, self.max_iter, self.tol, self.random_state = n_clusters, init, max_iter, tol, random_state
 
-    def _update(self, labelled, centres):
-        d = centres.shape[1]
-        sums = labelled.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[j]).alias(f"s{j}") for j in range(d)])
-        out = centres.copy()
-        for r in sums.collect():
-            out[r.label] = [r[f"s{j}"] / r.n for j in range(d)]
-        return out
+    def _step(self, rows, centres):
+        """Counts and sums by partition: centres travel with the task, so no plan is compiled anew."""
+
+        def part(b):
+            x = matrix(b)
+            label = np.stack([((x - c) ** 2).sum(1) for c in centres], 1).argmin(1)
+            out = np.zeros((len(centres), x.shape[1] + 1))
+            np.add.at(out, label, np.column_stack([np.ones(len(x)), x]))
+            return out
+
+        sums = reduced(rows, part, lambda p, q: p + q)
+        return np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), centres)
 
 
 class KMedians(_KCluster):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..array import Array, from_frame, number_rows, scan
 from ..functions import agg, expr as x
 from ..ml import BatchParallelKMeans, GaussianNB, IncrementalPCA, KMeans, KMedians, KMedoids, KNeighborsClassifier, Lasso, MaxAbsScaler, MinMaxScaler, Normalizer, PCA, RobustScaler, StandardScaler, silhouette_samples
-from ..operators import distance, linalg, manipulations as man, reductions as red, signal, sparse
+from ..operators import distance, elementwise as ew, linalg, manipulations as man, reductions as red, signal, sparse
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -513,4 +513,116 @@ def flagship(spark, d):
     q, p, disc = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount"))
     return T(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r(agg.sum(q), 2).alias("sum_qty"), r(agg.sum(p), 2).alias("sum_base"), r(agg.sum(x.mul(p, x.sub(1, disc))), 2).alias("sum_disc"), r(agg.mean(q)).alias("avg_qty"), F.count("*").alias("n"))
 
+# more of reshaping, generators and factorisations
 
+
+@query("select i, j, round(1.0 / (i - j + 0.5), 8) v from (select unnest(range(0, 20)) i), (select unnest(range(0, 20)) j)")
+def parter_matrix(spark, d):
+    from ..operators.factories import parter
+
+    return parter(20, "float64").cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 8).alias("v"))
+
+
+@query("""with c as (select vec_id i, unnest(range(0, 64)) j, cast(unnest(embedding) as double) v from embeddings)
+ select i % 7 g, round(sum(case when j <= i then v else 0 end), 4) lower_, round(sum(case when j >= i + 1 then v else 0 end), 4) upper_ from c group by 1""")
+def triangles(spark, d):
+    a = _embeddings(spark, d)
+    low, up = man.tril(a).cells(), man.triu(a, 1).cells()
+    g = lambda df, name: df.groupBy((F.col("i0") % 7).alias("g")).agg(r(F.sum("v"), 4).alias(name))
+    return g(low, "lower_").join(g(up, "upper_"), "g")
+
+
+@query("select (i + 3) % (select count(*) from events) i, v from (select row_number() over (order by event_id) - 1 i, value v from events) e")
+def roll_values(spark, d):
+    a = from_frame(number_rows(T(spark, d, "events").select("event_id", "value"), ["event_id"]), "value", ["row_id"])
+    return man.roll(a, 3, 0).cells().select(F.col("i0").alias("i"), "v")
+
+
+@query("select n_nationkey * 2 + k i, n_nationkey v from nation, (select unnest(range(0, 2)) k) union all select 50 + n_nationkey, n_nationkey from nation union all select 75 + n_nationkey, n_nationkey from nation")
+def repeat_tile_concatenate(spark, d):
+    a = from_frame(T(spark, d, "nation").withColumn("v", F.col("n_nationkey")), "v", ["n_nationkey"])
+    return man.concatenate([man.repeat(a, 2), man.tile(a, 2)]).cells().select(F.col("i0").alias("i"), "v")
+
+
+@query("select case when i < 3 then 0 when i < 28 then i - 3 else 9 end v, i from (select unnest(range(0, 30)) i)")
+def pad_values(spark, d):
+    a = from_frame(T(spark, d, "nation").withColumn("v", F.col("n_nationkey").cast("bigint")), "v", ["n_nationkey"])
+    return man.pad(a, ((3, 2),), constant_values=((0, 9),)).cells().select(F.col("i0").alias("i"), "v")
+
+
+@query("select row_number() over (order by c_custkey) - 1 i, c_acctbal v from customer where c_acctbal > 5000")
+def mask_selection(spark, d):
+    a = from_frame(number_rows(T(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"]), "c_acctbal", ["row_id"])
+    return a[a > 5000].cells().select(F.col("i0").alias("i"), "v")
+
+
+@query("select p_brand, min(p_size) low, count(distinct p_size) n from part group by 1")
+def distinct_sizes(spark, d):
+    return T(spark, d, "part").select("p_brand", "p_size").distinct().groupBy("p_brand").agg(F.min("p_size").alias("low"), F.count("*").alias("n"))
+
+
+SIM = """with e as (select vec_id i, list_transform(embedding, lambda v: cast(v as double)) x from embeddings where vec_id < 50),
+ s as (select a.i, b.i j, exp(-pow(list_distance(a.x, b.x), 2) / 32) v from e a join e b on a.i <> b.i), g as (select i, sum(v) d from s group by 1)
+ select s.i, s.j, round(-v / sqrt(g.d * h.d), 6) v from s join g on g.i = s.i join g h on h.i = s.j union all select i, i, 1.0 from g"""
+
+
+@query(SIM)
+def laplacian_matrix(spark, d):
+    lap = distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_some(spark, d, 50))
+    return lap.cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
+
+
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) x from embeddings where vec_id < 200), n as (select label, count(*) n from e group by 1),
+ s as (select a.vec_id, a.label own, b.label other, sum(list_distance(a.x, b.x)) s from e a, e b group by 1, 2, 3),
+ k as (select vec_id, max(case when own = other and n > 1 then s / (n - 1) end) a, min(case when own <> other then s / n end) b from s join n on n.label = s.other group by 1)
+ select vec_id row_id, round(coalesce((b - a) / greatest(a, b), 0), 6) silhouette from k""")
+def silhouette_values(spark, d):
+    v = _vectors(spark, d).where("row_id < 200")
+    return silhouette_samples(v, v.select("row_id", "label")).select("row_id", r(F.col("silhouette")).alias("silhouette"))
+
+
+@query()
+def eigenvalues(spark, d):
+    a = _embeddings(spark, d)
+    return linalg.eigh(linalg.matmul(a.T, a)).eigenvalues.cells()
+
+
+@query()
+def hierarchical_svd(spark, d):
+    return linalg.hsvd_rank(_embeddings(spark, d).T, 5, compute_sv=True)[1].cells()
+
+
+@query()
+def polar_factor(spark, d):
+    return linalg.polar(_embeddings(spark, d)).H.cells()
+
+
+@query()
+def conjugate_gradients(spark, d):
+    from ..operators.factories import eye, ones
+
+    a = _embeddings(spark, d)
+    return linalg.cg(ew.add(linalg.matmul(a.T, a), eye(64, "float64")), ones((64,), "float64")).cells()
+
+
+@query()
+def random_permutation(spark, d):
+    from ..operators import factories as f
+
+    f.seed(3)
+    return f.randperm(500).cells()
+
+
+@query()
+def spectral_clustering(spark, d):
+    from ..ml import Spectral
+
+    return Spectral(3, gamma=0.05, n_lanczos=30, max_iter=10).fit(_some(spark, d, 120)).labels_
+
+
+@query()
+def dynamic_modes(spark, d):
+    from ..ml import DMD
+
+    m = DMD(svd_rank=5).fit(_embeddings(spark, d))
+    return spark.createDataFrame([(k, float(abs(v))) for k, v in enumerate(sorted(m.rom_eigenvalues_, key=lambda z: -abs(z)))], "k int, modulus double")
