@@ -172,6 +172,13 @@ def nan_reductions(spark, d):
     return t.agg(agg.prod(1 + F.col("l_discount")).isNotNull().alias("ok"), agg.nansum(F.col("l_tax")).isNotNull().alias("nansum_"))
 
 
+@query("""select l_orderkey, round(product(1 + l_discount), 6) prod_, round(sum(case when l_discount < 0.02 or isnan(l_tax) then 0 else l_tax end), 6) nansum_ from lineitem group by 1""")
+def nan_reductions_all(spark, d):
+    """Of every order; taxes of small discounts count as NaN."""
+    tax = F.when(F.col("l_discount") < 0.02, float("nan")).otherwise(F.col("l_tax"))
+    return T(spark, d, "lineitem").groupBy("l_orderkey").agg(r(agg.prod(1 + F.col("l_discount"))).alias("prod_"), r(agg.nansum(tax)).alias("nansum_"))
+
+
 # positions: scans, differences, sorts, top-k, windows
 
 
@@ -288,6 +295,12 @@ def gram_matrix(spark, d):
     return linalg.matmul(a.T, a).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
 
 
+@query("""with c as (select vec_id i, unnest(range(0, 64)) j, cast(unnest(embedding) as double) v from embeddings) select a.j i, b.j, round(sum(a.v * b.v), 6) v from c a join c b using (i) group by 1, 2""")
+def gram_matrix_all(spark, d):
+    a = _embeddings(spark, d)
+    return linalg.matmul(a.T, a).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
+
+
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: cast(v as double) * v))), 8) norm2, round(list_sum(list_transform(embedding, lambda v: abs(cast(v as double)))), 8) norm1, round(list_max(list_transform(embedding, lambda v: abs(cast(v as double)))), 8) norminf from embeddings")
 def vector_norms(spark, d):
     long = T(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
@@ -323,9 +336,27 @@ def gaussian_kernel(spark, d):
     return distance.rbf(_some(spark, d, 50)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
 
 
+DIST_ALL = DIST.replace(" where vec_id < 50", "")
+
+
+@query(DIST_ALL.format("sqrt(list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))))"))
+def euclidean_distances_all(spark, d):
+    return distance.cdist(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
+
+
+@query(DIST_ALL.format("list_sum(list_transform(z, lambda t: abs(cast(t[1] as double) - t[2])))"))
+def manhattan_distances_all(spark, d):
+    return distance.manhattan(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
+
+
+@query(DIST_ALL.format("exp(-list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) / 2)"))
+def gaussian_kernel_all(spark, d):
+    return distance.rbf(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
+
+
 @query()
 def laplacian(spark, d):
-    return distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_some(spark, d, 50)).cells()
+    return distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_embeddings(spark, d)).cells()
 
 
 @query()
@@ -358,6 +389,12 @@ def fourier_transform(spark, d):
     return signal.fft(_some(spark, d, 5), axis=1).cells().select(F.col("i0").alias("i"), F.col("i1").alias("k"), (r(F.col("v.re"), 5) + 0.0).alias("re"), (r(F.col("v.im"), 5) + 0.0).alias("im"))
 
 
+@query("""with e as (select vec_id i, unnest(range(0, 64)) t, cast(unnest(embedding) as double) v from embeddings), k as (select unnest(range(0, 64)) k)
+ select i, k, round(sum(v * cos(2 * pi() * k * t / 64)), 5) re, round(-sum(v * sin(2 * pi() * k * t / 64)), 5) im from e, k group by 1, 2""")
+def fourier_transform_all(spark, d):
+    return signal.fft(_embeddings(spark, d), axis=1).cells().select(F.col("i0").alias("i"), F.col("i1").alias("k"), (r(F.col("v.re"), 5) + 0.0).alias("re"), (r(F.col("v.im"), 5) + 0.0).alias("im"))
+
+
 @query("""with a as (select n_nationkey i, n_regionkey j, n_nationkey v from nation where n_nationkey <> 0), b as (select n_nationkey i, n_nationkey % 5 j, 1 v from nation)
  select coalesce(a.i, b.i) i, coalesce(a.j, b.j) j, cast(coalesce(a.v, 0) + coalesce(b.v, 0) as bigint) v from a full join b on a.i = b.i and a.j = b.j""")
 def sparse_sum(spark, d):
@@ -474,7 +511,7 @@ def naive_bayes(spark, d):
 
 @query()
 def silhouette(spark, d):
-    v = _vectors(spark, d).where("row_id < 200")
+    v = _vectors(spark, d)
     return silhouette_samples(v, v.select("row_id", "label"))
 
 
@@ -572,6 +609,12 @@ def laplacian_matrix(spark, d):
     return lap.cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
 
 
+@query(SIM.replace(" where vec_id < 50", ""))
+def laplacian_matrix_all(spark, d):
+    lap = distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_embeddings(spark, d))
+    return lap.cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
+
+
 @query("""with e as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) x from embeddings where vec_id < 200), n as (select label, count(*) n from e group by 1),
  s as (select a.vec_id, a.label own, b.label other, sum(list_distance(a.x, b.x)) s from e a, e b group by 1, 2, 3),
  k as (select vec_id, max(case when own = other and n > 1 then s / (n - 1) end) a, min(case when own <> other then s / n end) b from s join n on n.label = s.other group by 1)
@@ -581,6 +624,15 @@ def silhouette_values(spark, d):
     return silhouette_samples(v, v.select("row_id", "label")).select("row_id", r(F.col("silhouette")).alias("silhouette"))
 
 
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) x from embeddings), n as (select label, count(*) n from e group by 1),
+ s as (select a.vec_id, a.label own, b.label other, sum(list_distance(a.x, b.x)) s from e a, e b group by 1, 2, 3),
+ k as (select vec_id, max(case when own = other and n > 1 then s / (n - 1) end) a, min(case when own <> other then s / n end) b from s join n on n.label = s.other group by 1)
+ select vec_id row_id, round(coalesce((b - a) / greatest(a, b), 0), 6) silhouette from k""")
+def silhouette_values_all(spark, d):
+    v = _vectors(spark, d)
+    return silhouette_samples(v, v.select("row_id", "label")).select("row_id", r(F.col("silhouette")).alias("silhouette"))
+
+
 @query()
 def eigenvalues(spark, d):
     a = _embeddings(spark, d)
@@ -617,7 +669,7 @@ def random_permutation(spark, d):
 def spectral_clustering(spark, d):
     from ..ml import Spectral
 
-    return Spectral(3, gamma=0.05, n_lanczos=30, max_iter=10).fit(_some(spark, d, 120)).labels_
+    return Spectral(3, gamma=0.05, n_lanczos=30, max_iter=10).fit(_embeddings(spark, d)).labels_
 
 
 @query()
