@@ -499,6 +499,15 @@ def nearest_neighbours(spark, d):
     return KNeighborsClassifier(5).fit(v.select("row_id", "x"), v.select("row_id", "label")).predict(v.where("row_id < 40"))
 
 
+@query("""with e as (select vec_id, label, embedding x from embeddings), dd as (select a.vec_id, b.vec_id near, b.label, list_sum(list_transform(list_zip(a.x, b.x), lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) d from e a, e b where a.vec_id % 20 = 0),
+ k as (select vec_id, label from dd qualify row_number() over (partition by vec_id order by d, near) <= 5), v as (select vec_id, label, count(*) n from k group by 1, 2)
+ select vec_id row_id, cast(arg_min(label, (-n, label)) as bigint) label from v group by 1""")
+def nearest_neighbours_all(spark, d):
+    """Every row whose id is divisible by 20 against all rows."""
+    v = _vectors(spark, d)
+    return KNeighborsClassifier(5).fit(v.select("row_id", "x"), v.select("row_id", "label")).predict(v.where("row_id % 20 = 0"))
+
+
 @query("""with e as (select vec_id, label, unnest(range(0, 64)) j, cast(unnest(embedding) as double) v from embeddings), s as (select max(x) * 1e-9 eps from (select var_pop(v) x from e group by j)),
  m as (select label, j, avg(v) mu, var_pop(v) + any_value(eps) vr from e, s group by 1, 2), p as (select label, ln(count(*) * 1.0 / (select count(*) from embeddings)) lp from embeddings group by 1),
  l as (select e.vec_id, m.label, any_value(lp) - 0.5 * sum(ln(2 * pi() * vr) + (v - mu) * (v - mu) / vr) ll from e join m using (j) join p on p.label = m.label group by 1, 2)
