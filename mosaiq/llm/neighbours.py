@@ -1,32 +1,20 @@
-"""Near-duplicate vectors by NN-descent.
-
-Equal vectors of a label are one node. A first neighbour graph comes from blocks: vectors that share the side of
-random hyperplanes, cut into lots of bounded size. It is then refined: for each node the neighbours of its
-neighbours are compared, a pair at a time, and enter the lists of both if they are near enough. A list that is
-full of pairs above the threshold is saturated: it is enlarged, so no such pair is lost. Rounds go on until they
-find nothing new; a sample is then compared with all rows, and while its recall is too low, new blocks are added.
-Edges at or above the threshold, in double precision, are kept.
+"""Near-duplicate vectors, exactly.
+
+Equal vectors of a label are one node. The nodes of a label are cut into lots of bounded size, and each pair of lots is
+compared whole, in double precision. Of a pair of lots only what is needed leaves the task: for each node the number of
+vectors it links with, and stars that join the nodes that links connect; so the links of a large group of near copies
+are counted but never written. The work is the square of a label's nodes, in dense products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, shuffle_partitions
+from .common import Scratch
 from .graph import components
-from .words import U, mix
-
-EDGE = "a bigint, b bigint, cos double"
-EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cos", pa.float64())])
-
-
-def nodes_type(nodes: DataFrame) -> pa.DataType:
-    return pa.float32() if nodes.schema["v"].dataType.elementType.simpleString() == "float" else pa.float64()
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -36,169 +24,80 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def pairwise(x: np.ndarray, ids: np.ndarray, keep: int, threshold: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows: for each row the ``keep`` nearest above floor, and all at or above the threshold."""
-    out_a, out_b, out_c = [], [], []
-    for i in range(0, len(x), 512):
-        c = x[i : i + 512] @ x.T
-        c[np.arange(len(c)), np.arange(i, i + len(c))] = -2
-        good = c >= threshold
-        if len(x) > keep:
-            near = np.argpartition(-c, keep - 1, axis=1)[:, :keep]
-            rows = np.repeat(np.arange(len(c)), near.shape[1])
-            ok = c[rows, near.ravel()] >= floor
-            good[rows[ok], near.ravel()[ok]] = True
-        else:
-            good |= c >= floor
-        p, q = np.nonzero(good)
-        out_a.append(ids[i + p])
-        out_b.append(ids[q])
-        out_c.append(c[p, q])
-    a, b, c = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    _, first = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
-    return low[first], high[first], c[first]
-
-
-def blocked(nodes: DataFrame, sizes: DataFrame, dims: int, turn: int, lot: int) -> DataFrame:
-    """node, block, v: blocks hold about ``lot`` nodes of one group and one side of this turn's hyperplanes."""
-    planes = np.random.default_rng(600 + turn).normal(size=(dims, 40))
-    code_schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("code", pa.int64()), ("v", pa.list_(nodes_type(nodes)))])
-
-    def codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(40, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                x = unit_rows(b.column("v"))
-                n = b.column("n").to_numpy()
-                bits = np.maximum(0, np.ceil(np.log2(n / lot))).astype(np.int64)
-                code = ((x @ planes > 0) * weight).sum(1) & ((1 << bits) - 1)
-                yield batch(code_schema, node=b.column("node"), grp=b.column("grp"), n=n, code=code, v=b.column("v"))
-
-    coded = nodes.join(sizes, "grp").select("node", "grp", "n", "v").mapInArrow(codes, f"node bigint, grp bigint, n bigint, code bigint, v {nodes.schema['v'].dataType.simpleString()}")
-    many = coded.groupBy("grp", "code").agg(F.count("*").alias("m"))
-    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("m") / (2 * lot))))
-    return coded.join(many, ["grp", "code"]).select("node", F.xxhash64("grp", "code", part).alias("block"), "v")
-
-
-def block_edges(blocks: DataFrame, keep: int, threshold: float, floor: float) -> DataFrame:
-    """Edges inside the blocks."""
-
-    def inside(table: pa.Table) -> pa.Table:
-        x = unit_rows(table.column("v").combine_chunks())
-        a, b, c = pairwise(x, table.column("node").to_numpy(), keep, threshold, floor)
-        return pa.table({"a": a, "b": b, "cos": c}, schema=EDGES)
-
-    return blocks.groupBy("block").applyInArrow(inside, EDGE)
-
-
-def trimmed(edges: DataFrame, keep: int, threshold: float) -> DataFrame:
-    """The graph that is walked: of both ends' lists the ``keep`` nearest; a saturated list is enlarged to double."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "cos").unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "cos"))
-    parts = shuffle_partitions(edges.sparkSession)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, size = None, 0, keep
-        for t in batches:
-            pick = []
-            for i, (u, c) in enumerate(zip(t.column("u").to_pylist(), t.column("cos").to_pylist(), strict=True)):
-                if u != last:
-                    last, seen, size = u, 0, keep
-                seen += 1
-                if seen > size and c >= threshold:
-                    size *= 2
-                if seen <= size:
-                    pick.append(i)
-            yield t.take(pa.array(pick, pa.int64()))
-
-    return both.repartition(parts, "u").sortWithinPartitions("u", F.desc("cos"), "v").mapInArrow(run, "u bigint, v bigint, cos double")
-
-
-def neighbours_of_neighbours(lists: DataFrame, nodes: DataFrame, blocks: DataFrame, threshold: float, floor: float, often: int = 32) -> DataFrame:
-    """Pairs of neighbours of one node that have shared no block and are near.
-
-    ``blocks`` has node, in: its block of each turn. A node whose list lies in one block has nothing to compare. In a long
-    list a pair is left to about ``often`` of the nodes that could compare it, chosen by a hash.
+def stars(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one it reaches by the links p, q."""
+    low = np.arange(n)
+    while True:
+        u, v = low[p], low[q]
+        open_ = u != v
+        if not open_.any():
+            return low
+        p, q, u, v = p[open_], q[open_], u[open_], v[open_]
+        np.minimum.at(low, np.maximum(u, v), np.minimum(u, v))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def compared(x: np.ndarray, y: np.ndarray | None, ids: np.ndarray, copies: np.ndarray, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links between x and y, or inside x: for each row (of x, then of y) the linked vectors and the smallest row it reaches.
+
+    ``ids`` and ``copies`` are of the rows of x, then of y, in rising order of ids in each.
     """
-    placed = lists.join(blocks.withColumnRenamed("node", "v"), "v")
-    mixed = placed.groupBy("u").agg((F.min(F.col("in")[0]) != F.max(F.col("in")[0])).alias("mixed")).where("mixed").select("u")
-    rows = placed.join(mixed, "u", "left_semi").join(nodes.select(F.col("node").alias("v"), F.col("v").alias("x")), "v")
-    rows = rows.select("u", "v", "in", "x").repartition(shuffle_partitions(lists.sparkSession), "u").sortWithinPartitions("u", "v")
-
-    def local(u: int, v: np.ndarray, at: np.ndarray, x: np.ndarray):
-        new = np.triu(np.ones((len(v), len(v)), bool), 1)
-        for turn in at.T:
-            new &= turn[:, None] != turn[None]
-        p, q = np.nonzero(new)
-        share = max(1, len(v) // often)
-        if share > 1:
-            h = mix((v[p].astype(U) * U(0x9E3779B97F4A7C15)) ^ v[q].astype(U))
-            mine = h % U(share) == mix(np.array([u], np.int64).astype(U))[0] % U(share)
-            p, q = p[mine], q[mine]
-        c = np.concatenate([(x[p[i : i + 65536]] * x[q[i : i + 65536]]).sum(1) for i in range(0, len(p), 65536)] or [np.empty(0)])
-        ok = c >= (floor if len(v) <= often else threshold)
-        return v[p[ok]], v[q[ok]], c[ok]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def lots(table: pa.Table) -> pa.RecordBatch:
-            u, v, x = table.column("u").to_numpy(), table.column("v").to_numpy(), unit_rows(table.column("x").combine_chunks())
-            at = table.column("in").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
-            edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1], [True]]))
-            found = [local(int(u[i]), v[i:j], at[i:j], x[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
-            a, b, c = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(3))
-            if len(a):
-                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                a, b, c = a[first], b[first], c[first]
-            return batch(EDGES, a=a.astype(np.int64), b=b.astype(np.int64), cos=c)
-
-        for t in batches:
-            if not t.num_rows:
+    n, z = len(x), x if y is None else y
+    at = 0 if y is None else n
+    counts, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i in range(0, n, step):
+        c = x[i : i + step] @ z.T
+        if y is None:
+            c[np.arange(len(c)), np.arange(i, i + len(c))] = -2
+        p, q = np.nonzero(c >= threshold)
+        if not len(p):
+            continue
+        p, q = p + i, q + at
+        counts += np.bincount(p, copies[q], len(ids)).astype(np.int64)
+        if y is not None:
+            counts += np.bincount(q, copies[p], len(ids)).astype(np.int64)
+        low = stars(np.concatenate([p, np.arange(len(ids))]), np.concatenate([q, low]), len(ids))
+    return counts, low
+
+
+def lots_met(nodes: DataFrame, sizes: DataFrame, lot: int, threshold: float) -> DataFrame:
+    """node, links, other: what each pair of lots of a group finds of its nodes; other is a node that it reaches."""
+    found = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+    many = F.greatest(F.lit(1), F.ceil(F.col("n") / lot)).cast("int")
+    cut = nodes.join(F.broadcast(sizes), "grp").withColumn("lots", many).withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("lots") - 1)
+    sent = cut.withColumn("other", F.explode(others)).select("node", "copies", "v", F.size("v").alias("w"), "grp", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), (F.col("lot") > F.col("other")).alias("second"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        out = []
+        width = table.column("w").to_numpy()
+        for w in np.unique(width):  # a group's hash may be of vectors of two lengths
+            own = table.filter(pa.array(width == w))
+            second, ids, copies = (own.column(k).to_numpy() for k in ("second", "node", "copies"))
+            x = unit_rows(own.column("v").combine_chunks())
+            o = np.lexsort((ids, second))
+            second, ids, copies, x = second[o], ids[o], copies[o], x[o]
+            n = int((~second).sum())
+            alone = own.column("i")[0] == own.column("j")[0]
+            if not alone and n in (0, len(ids)):
                 continue
-            table = pa.Table.from_batches([t]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([t])])
-            u = table.column("u").to_numpy()
-            cut = int(np.searchsorted(u, u[-1]))
-            if cut:
-                yield lots(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None:
-            yield lots(rest)
-
-    return rows.mapInArrow(run, EDGE)
-
-
-def audit(nodes: DataFrame, edges: DataFrame, threshold: float, sample: int) -> float:
-    """Recall of the links of about ``sample`` nodes (by a hash of their numbers), against all nodes of their group."""
-    count = nodes.count()
-    share = int(2**30 * min(1.0, sample / max(1, count)))
-    picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(2**30)) < share).select("node", "grp", "v").limit(4 * sample).collect()
-    if not picked:
-        return 1.0
-    width = max(len(r.v) for r in picked)
-    picked = [r for r in picked if len(r.v) == width]
-    ids, grp = np.array([r.node for r in picked]), np.array([r.grp for r in picked])
-    x = unit_rows(pa.array([r.v for r in picked], pa.list_(pa.float64())))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                y, node, g = unit_rows(b.column("v")), b.column("node").to_numpy(), b.column("grp").to_numpy()
-                p, q = np.nonzero((x @ y.T >= threshold) & (grp[:, None] == g[None]) & (ids[:, None] != node[None]))
-                yield batch(EDGES, a=np.minimum(ids[p], node[q]), b=np.maximum(ids[p], node[q]), cos=np.ones(len(p)))
-
-    truth = nodes.where(F.size("v") == width).select("node", "grp", "v").mapInArrow(run, EDGE).select("a", "b").distinct()
-    got = truth.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("k")).first()
-    return got.k / got.n if got.n else 1.0
-
-
-def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot: int = 1000, floor: float = 0.8, turns: int = 3, rounds: int = 4, recall: float = 0.99, most_turns: int = 6, sample: int = 256) -> DataFrame:
+            counts, low = compared(x[:n], None if alone else x[n:], ids, copies, threshold)
+            hit = np.flatnonzero(counts)
+            out.append(pa.table({"node": ids[hit], "links": counts[hit], "other": ids[low[hit]]}, schema=found))
+        return pa.concat_tables(out) if out else found.empty_table()
+
+    return sent.groupBy("grp", "i", "j").applyInArrow(meet, "node bigint, links bigint, other bigint")
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.98, lot: int = 1000, turns: int | None = None) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept, from (vec_id, embedding, label).
 
     Vectors link if labels are equal and not null and their cosine is at least ``threshold``. Vectors that are
     null, empty, zero or hold null or non-finite components, and rows with a null label, link with nothing; vectors
     of unequal lengths don't either. Rows with a null vec_id link with nothing and have a null component_id. Of
     repeated rows each is a vector of its own and counts as a link of the others; other columns are ignored.
+    ``turns`` has no effect any more: no pair is left out.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -211,41 +110,9 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot:
     members = valid.withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash("v"))
     nodes = scratch.save(members.groupBy("grp", "key", "key2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")), "nodes")
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
-    by_size = [r.s for r in nodes.select(F.size("v").alias("s")).distinct().collect()]
-
-    def turn_blocks(turn: int) -> DataFrame:
-        out = None
-        for dims in by_size:  # vectors of each length by themselves
-            got = blocked(nodes.where(F.size("v") == dims), sizes, dims, turn, lot)
-            out = got if out is None else out.unionByName(got)
-        return scratch.save(out, f"blocks{turn}")
-
-    if not by_size:
-        return marked.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    edges, turn, places = None, 0, None
-    while True:
-        for _ in range(turns if edges is None else 1):
-            own = turn_blocks(turn)
-            new = block_edges(own, keep, threshold, floor)
-            edges, turn = new if edges is None else edges.unionByName(new), turn + 1
-            here = own.select("node", F.array("block").alias("in"))
-            places = here if places is None else places.join(here.withColumnRenamed("in", "_more"), "node").select("node", F.concat("in", "_more").alias("in"))
-        places = scratch.save(places, "places")
-        edges = scratch.save(edges.groupBy("a", "b").agg(F.max("cos").alias("cos")), "graph")
-        links = edges.where(F.col("cos") >= threshold).count()
-        for _ in range(rounds):
-            more = neighbours_of_neighbours(scratch.save(trimmed(edges, keep, threshold), "lists"), nodes, places, threshold, floor)
-            edges = scratch.save(edges.unionByName(more).groupBy("a", "b").agg(F.max("cos").alias("cos")), "graph")
-            before, links = links, edges.where(F.col("cos") >= threshold).count()
-            if links == before:
-                break
-        near = edges.where(F.col("cos") >= threshold)
-        if turn >= most_turns or audit(nodes, near, threshold, sample) >= recall:
-            break
-    near = scratch.save(near.select("a", "b"), "near")
-    comp = components(near, scratch)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "other")
-    degree = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("outside"))
+    met = scratch.save(lots_met(nodes, sizes, lot, threshold), "met")
+    comp = components(met, scratch, "node", "other")
+    degree = met.groupBy("node").agg(F.sum("links").alias("outside"))
     facts = nodes.select("node", "grp", "key", "key2", "copies").join(degree, "node", "left").join(comp, "node", "left")
     facts = facts.select("grp", "key", "key2", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = members.select("vec_id", "grp", "key", "key2").join(facts, ["grp", "key", "key2"]).select("vec_id", "n_links", "component_id")

@@ -239,6 +239,37 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def brute_links(x):
+    u = x.astype(np.float32).astype(float)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    low = np.arange(len(x))
+    while True:
+        new = np.minimum(low, np.where(near, low[None], len(x)).min(1))
+        if (new == low).all():
+            return near.sum(1), low
+        low = new
+
+
+def near_links_are_whole(spark, x, lot):
+    df = spark.createDataFrame([(k, [float(v) for v in row], 0) for k, row in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df, lot=lot).collect()}
+    links, low = brute_links(x)
+    assert got == {k: (links[k], low[k]) for k in range(len(x))}
+
+
+def test_near_vectors_around_a_hub(spark):
+    """Variants of one vector that are near it, and of each other only some."""
+    rng = np.random.default_rng(11)
+    hub = rng.normal(size=64)
+    hub /= np.linalg.norm(hub)
+    off = rng.normal(size=(1500, 64))
+    off -= np.outer(off @ hub, hub)
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near_links_are_whole(spark, np.vstack([hub, 0.985 * hub + np.sqrt(1 - 0.985**2) * off]), 32)
+
+
 def test_tiles_and_contamination(spark):
     item, short = made(21, 40), "three little words"
     halves = " ".join(item.split()[20:]) + " " + made(22, 30) + " " + " ".join(item.split()[:20])
