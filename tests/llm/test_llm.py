@@ -270,6 +270,17 @@ def test_near_vectors_around_a_hub(spark):
     near_links_are_whole(spark, np.vstack([hub, 0.985 * hub + np.sqrt(1 - 0.985**2) * off]), 32)
 
 
+def test_isolated_near_vectors(spark):
+    """Pairs at 0.981 among vectors that are far from all others."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(600, 64))
+    off -= (off * x[:600]).sum(1, keepdims=True) * x[:600]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near_links_are_whole(spark, np.vstack([x, 0.981 * x[:600] + np.sqrt(1 - 0.981**2) * off]), 8)
+
+
 def test_tiles_and_contamination(spark):
     item, short = made(21, 40), "three little words"
     halves = " ".join(item.split()[20:]) + " " + made(22, 30) + " " + " ".join(item.split()[:20])
