@@ -185,6 +185,26 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(frame(spark, AWKWARD)).count() == 0
 
 
+def test_contexts_lie_in_every_range():
+    for t in (1, 2, 7, 46, 96):
+        around = substring.contexts(t)
+        assert all(any(i <= w and j <= t - 1 - w for i, j in around) for w in range(t))
+
+
+def test_passages_that_share_a_template(spark):
+    """Fields of their own inside a common text, three exact copies each: later copies are found with their own source."""
+    before, after = made(900, 20), made(901, 20)
+    passages = [f"{before} {made(910 + v, 14)} {after}" for v in range(20)]
+    rows = [(20 * k + v, f"{made(2000 + 20 * k + v, 15)} {passages[v]} {made(3000 + 20 * k + v, 15)}") for k in range(3) for v in range(20)]
+    rows.append((-1, f"{made(4000, 30)} {after} {made(4001, 60)} {passages[3]} {made(4002, 9)} {before} {made(4003, 60)}"))  # the template's parts in other places too
+    got = {}
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.source_id))
+    late = [d for d in range(20, 60)] + [3]
+    lost = [d for d in late if not any(s <= 17 and e >= 67 and (b % 20 == d % 20 or (b, d % 20) == (-1, 3)) for s, e, b in got.get(d, []))]
+    assert not lost, lost
+
+
 def test_quality_learns(spark):
     rows = [(k, made(k, 40) if k % 2 else made(k, 40).upper().replace(" ", "!! ")) for k in range(400)]
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
