@@ -478,12 +478,12 @@ def kmeans(spark, d):
 
 @query()
 def kmedians(spark, d):
-    return KMedians(4, max_iter=3, random_state=1).fit(_vectors(spark, d)).labels_
+    return KMedians(4, random_state=1).fit(_vectors(spark, d)).labels_
 
 
 @query()
 def kmedoids(spark, d):
-    return KMedoids(4, max_iter=3, random_state=1).fit(_vectors(spark, d)).labels_
+    return KMedoids(4, random_state=1).fit(_vectors(spark, d)).labels_
 
 
 @query()
