@@ -9,17 +9,21 @@ The plan, in the order of its steps:
    none. The others go on.
 2. Documents of equal sets are one class, represented by their smallest id.
 3. Answers of similar sets: representatives that share a min-hash are compared with a few of them, the
-   pivots (the smallest, and the first by hashed ids). Who links with a pivot joins its family, keeps only its difference from the pivot's set, and needs
-   no other links inside the family.
+   pivots (the smallest, and the first by hashed ids). Who links with pivots joins their family, and the star of the
+   smallest of them; it keeps only its difference from that pivot's set, and needs no other links inside the family.
 4. Prefixes are taken with common hashes last: a bitmap of fixed size notes hashes that many families hold. Any
    order that depends on the hash alone gives whole results, so bits shared by chance do no harm.
    Inverted lists over prefixes, sorted by size and position, are read in blocks; a block of the list is skipped
    where its sizes or positions rule out the overlap, or where it lies in the family at hand. Pairs whose parity
-   bitmaps differ in more bits than their sets may differ in elements are left out, by a short bitmap in the list and
-   by a longer one afterwards.
-5. Candidate pairs of different families are verified; a family member's overlap with a set is its pivot's
-   overlap, computed once, corrected by the member's difference.
-6. Components of the links.
+   bitmaps differ in more bits than their sets may differ in elements are left out. What a list gives is pairs of
+   stars, each once, so a group of near copies adds no pair for each two of its members. Lists of over LONG entries
+   are cut into lots that meet in tasks of their own.
+5. The pivots of two stars are compared. They link, or their distance, less the distances of the members from them,
+   rules out every link between the stars, or the pair is undecided; a star of one document leaves nothing undecided.
+6. Undecided pairs whose stars links have joined in the meantime need no more work. For the others, lots of members
+   meet; a member's overlap with a set is its pivot's, computed once, corrected by the member's difference. The first
+   link found is enough.
+7. Components of the links.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from .graph import components
 from .words import U, as_bytes, mix, segment, shingles
 
 ZONE = 0.3  # share of the hashes looked at in the first step
+LOT = 1_500_000  # hashes that a task of the first step holds
 KEEP = 5  # bytes of a zone hash that are sent; equal cuts of unequal hashes only send more documents on
 
 
@@ -74,20 +79,57 @@ def folded(column: pa.Array) -> np.ndarray:
     return np.bitwise_xor.reduce(words, axis=1).view(np.int64).T
 
 
-def near_enough(pairs: DataFrame, sets: DataFrame, percent: int, x: str, y: str) -> DataFrame:
-    """The pairs whose parities and sizes don't rule out a link."""
+def near_enough(pairs: DataFrame, facts: DataFrame, percent: int, x: str, y: str) -> DataFrame:
+    """The pairs that may be near, with ``most``: the largest (100 + percent) * difference that is still of use.
+
+    ``facts`` has doc_id, size, reach and parity; most is the sum of both reaches. With reach = (100 - percent) * size a
+    pair links exactly if its sets differ in most / (100 + percent) elements or fewer. Sizes and parities give a
+    lower bound of the difference.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in ("px", "py"))
-                n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("nx", "ny"))
-                ok = np.bitwise_count(p ^ q).sum(1) <= n + m - 2 * least_overlap(n, m, percent)
-                yield b.select([x, y]).filter(pa.array(ok))
+                ok = (100 + percent) * np.bitwise_count(p ^ q).sum(1).astype(np.int64) <= b.column("most").to_numpy()
+                yield b.select([x, y, "most"]).filter(pa.array(ok))
+
+    small = facts.select("doc_id", "size", "reach", "parity")
+    both = pairs.select(x, y).join(small.toDF(x, "nx", "rx", "px"), x).join(small.toDF(y, "ny", "ry", "py"), y).withColumn("most", (F.col("rx") + F.col("ry")).cast("bigint"))
+    both = both.where((100 + percent) * F.abs(F.col("nx") - F.col("ny")) <= F.col("most"))
+    return both.select(x, y, "most", "px", "py").mapInArrow(run, f"{x} bigint, {y} bigint, most bigint")
 
-    small = sets.select("doc_id", "size", "parity")
-    both = pairs.select(x, y).join(small.toDF(x, "nx", "px"), x).join(small.toDF(y, "ny", "py"), y)
-    return both.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").mapInArrow(run, f"{x} bigint, {y} bigint")
+
+def differences(pairs: DataFrame, sets: DataFrame, percent: int, elements: bool, split: int = 512) -> DataFrame:
+    """a, b, apart (and plus, minus: what a's set has more and less than b's) for pairs a, b, most that are near enough.
+
+    A task reads the set of b, then those of its partners a, one after the other. The partners of one b are dealt to
+    as many tasks as they need, ``split`` to each.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("plus", pa.binary()), ("minus", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = None, None
+        for t in batches:
+            rows = []
+            for b, a, most, data in zip(*(t.column(k) for k in ("b", "a", "most", "hashes")), strict=True):
+                b, a, x = b.as_py(), a.as_py(), to_set(data.as_py())
+                if a is None:
+                    own, base = b, x
+                    continue
+                if b != own:
+                    raise ValueError(f"the set of {b} is missing")
+                apart = len(x) + len(base) - 2 * overlap(x, base)
+                if (100 + percent) * apart <= most.as_py():
+                    rows.append((a, b, apart, *((np.setdiff1d(x, base, True).tobytes(), np.setdiff1d(base, x, True).tobytes()) if elements else (b"", b""))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    hashes = sets.select("doc_id", "hashes")
+    tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / split).cast("int").alias("tasks"))
+    left = pairs.join(tasks, "b").select("b", F.pmod(F.xxhash64("a"), "tasks").cast("int").alias("task"), "a", "most").join(hashes.withColumnRenamed("doc_id", "a"), "a")
+    right = tasks.join(hashes.withColumnRenamed("doc_id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("most"), "hashes")
+    both = left.select("b", "task", "a", "most", "hashes").unionByName(right).repartition(shuffle_partitions(sets.sparkSession), "b", "task")
+    return both.sortWithinPartitions("b", "task", F.col("a").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint, apart bigint, plus binary, minus binary")
 
 
 def prefix(h: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -120,14 +162,7 @@ def common_hashes(sets: DataFrame, percent: int, most: int = 8, rounds: int = 2)
     """A bitmap of hashes that stand in more than ``most`` prefixes, and of several families; prefixes move on as it fills."""
     common = np.zeros(2 ** (COMMON_BITS - 3), np.uint8)
     for _ in range(rounds):
-        sent = sets.sparkSession.sparkContext.broadcast(common)
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h = [prefix(to_set(x.as_py()), sent.value, percent) for x in b.column("hashes")]
-                yield pa.RecordBatch.from_pydict({"h": np.concatenate(h or [np.empty(0, U)]).astype(np.int64), "family": pa.array(np.repeat(b.column("family").to_numpy(), [len(x) for x in h]), pa.int64())})
-
-        lists = sets.select("family", "hashes").mapInArrow(run, "h bigint, family bigint")
+        lists = in_prefixes(sets, percent, common, False)
         lists = lists.groupBy("h").agg(F.count("*").alias("n"), (F.min("family") != F.max("family")).alias("mixed")).where((F.col("n") > most) & F.col("mixed"))
         before = common
         common = common | bitmap(lists.select("h"), COMMON_BITS)
@@ -136,6 +171,20 @@ def common_hashes(sets: DataFrame, percent: int, most: int = 8, rounds: int = 2)
     return common
 
 
+def in_prefixes(sets: DataFrame, percent: int, common: np.ndarray, only_common: bool) -> DataFrame:
+    """h, family: the hashes of all prefixes, or the common ones among them."""
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [prefix(to_set(x.as_py()), sent.value, percent) for x in b.column("hashes")]
+            if only_common:
+                h = [x[in_bitmap(x, sent.value, COMMON_BITS)] for x in h]
+            yield pa.RecordBatch.from_pydict({"h": np.concatenate(h or [np.empty(0, U)]).astype(np.int64), "family": pa.array(np.repeat(b.column("family").to_numpy(), [len(x) for x in h]), pa.int64())})
+
+    return sets.select("family", "hashes").mapInArrow(run, "h bigint, family bigint")
+
+
 ZONED = "bucket int, block bigint, doc_id bigint, size int, in_zone int, shared int, f1 bigint, f2 bigint, hashes binary, docs binary, many binary"
 
 
@@ -177,7 +226,7 @@ def zoned(docs: DataFrame, n: int, buckets: int, zone: float) -> DataFrame:
             ids += b.column("doc_id").to_pylist()
             sets += sets_of(as_bytes(b.column("text")), n)
             held += sum(len(s) for s in sets[-b.num_rows :])
-            if held > 4_000_000:
+            if held > LOT:
                 yield from flush(ids, sets, block)
                 ids, sets, held, block = [], [], 0, block + 1
         if ids:
@@ -233,8 +282,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def families(sets: DataFrame, percent: int, sketches: int = 3, pivots: int = 3) -> DataFrame:
-    """Step 3: a, pivot (a > pivot), plus, minus: a's set is the pivot's, without minus and with plus; linked pairs only."""
-    schema = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("plus", pa.binary()), ("minus", pa.binary())])
+    """Step 3: a, b, apart, plus, minus: documents a and pivots b < a that link; a's set is b's, without minus and with plus."""
     key_schema = pa.schema([("a", pa.int64()), ("k", pa.int64())])
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,39 +296,37 @@ def families(sets: DataFrame, percent: int, sketches: int = 3, pivots: int = 3)
                     k.append(int((m ^ U(j)).astype(np.int64)))
             yield batch(key_schema, a=a, k=k)
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in range(b.num_rows):
-                x, p = to_set(b.column("ha")[r].as_py()), to_set(b.column("hp")[r].as_py())
-                o = overlap(x, p)
-                if 100 * o >= percent * (len(x) + len(p) - o):
-                    rows.append((b.column("a")[r].as_py(), b.column("pivot")[r].as_py(), np.setdiff1d(x, p, True).tobytes(), np.setdiff1d(p, x, True).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
     each = sets.select("doc_id", "hashes").mapInArrow(keys, "a bigint, k bigint")
     orders = [F.min("a"), *(F.min_by("a", F.xxhash64("a", F.lit(j))) for j in range(1, pivots))]
     chosen = each.groupBy("k").agg(F.array_distinct(F.array(*orders)).alias("pivots"), F.count("a").alias("n")).where("n > 1")
-    pairs = each.join(chosen, "k").select("a", F.explode("pivots").alias("pivot")).where("a <> pivot").select(F.greatest("a", "pivot").alias("a"), F.least("a", "pivot").alias("pivot")).distinct()
-    hashes = sets.select("doc_id", "hashes")
-    both = near_enough(pairs, sets, percent, "a", "pivot").join(hashes.toDF("a", "ha"), "a").join(hashes.toDF("pivot", "hp"), "pivot")
-    return both.select("a", "pivot", "ha", "hp").mapInArrow(verify, "a bigint, pivot bigint, plus binary, minus binary")
+    pairs = each.join(chosen, "k").select("a", F.explode("pivots").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return differences(near_enough(pairs, sets.withColumn("reach", (100 - percent) * F.col("size")), percent, "a", "b"), sets, percent, True)
+
+
+LONG = 2048  # entries of a list that one task compares
 
 
 def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Step 4: pairs a < b of different families that may link. ``sets`` has doc_id, family, size, parity and hashes."""
-    sent = sets.sparkSession.sparkContext.broadcast(common_hashes(sets, percent))
-    entry_schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("family", pa.int64()), *((f"p{k}", pa.int64()) for k in range(FOLD))])
+    """Step 4: pairs a < b of pivots (``star``) of different families that may have members that link.
 
-    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [to_set(x.as_py()) for x in b.column("hashes")]
-            size = np.array([len(x) for x in h], np.int64)
-            many = size - -(-percent * size // 100) + 1
-            yield batch(entry_schema, h=np.concatenate([prefix(x, sent.value, percent) for x in h] or [np.empty(0, U)]).astype(np.int64), size=np.repeat(size, many).astype(np.int32), at=np.concatenate([np.arange(k) for k in many] or [[]]).astype(np.int32), doc_id=np.repeat(b.column("doc_id").to_numpy(), many), family=np.repeat(b.column("family").to_numpy(), many), **{f"p{k}": np.repeat(f, many) for k, f in enumerate(folded(b.column("parity")))})
+    ``sets`` has doc_id, family, star, size, parity and hashes. A list of more than LONG entries is cut into lots by
+    document, and each two of its lots are a list of their own; side is 0 in a whole list or lot, 1 and 2 where two meet.
+    """
+    common = common_hashes(sets, percent)
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+    entry_schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("star", pa.int64()), ("family", pa.int64()), *((f"p{k}", pa.int64()) for k in range(FOLD))])
 
-    def pairs(size, at, doc, family, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a list that is sorted by size; blocks of it are skipped by size, position and family."""
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                h = [to_set(x.as_py()) for x in b.column("hashes")]
+                size = np.array([len(x) for x in h], np.int64)
+                many = size - -(-percent * size // 100) + 1
+                yield batch(entry_schema, h=np.concatenate([prefix(x, sent.value, percent) for x in h] or [np.empty(0, U)]).astype(np.int64), size=np.repeat(size, many).astype(np.int32), at=np.concatenate([np.arange(k) for k in many] or [[]]).astype(np.int32), **{k: np.repeat(b.column(k).to_numpy(), many) for k in ("doc_id", "star", "family")}, **{f"p{k}": np.repeat(f, many) for k, f in enumerate(folded(b.column("parity")))})
+
+    def pairs(size, at, star, family, side, bits) -> Iterator[np.ndarray]:
+        """Pairs of stars from a list that is sorted by size; blocks of it are skipped by size, position and family."""
         cut = list(range(0, len(size), block))
         low_at = [at[i : i + block].min() for i in cut]
         for i in cut:
@@ -296,88 +342,155 @@ def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
                 if family[y].min() == family[x].max() and family[y].max() == family[x].min():
                     continue
                 need = least_overlap(size[x, None].astype(np.int64), size[None, y], percent)
-                ok = (np.minimum(size[x, None] - at[x, None], size[None, y] - at[None, y]) >= need) & (family[x, None] != family[None, y])
+                ok = (np.minimum(size[x, None] - at[x, None], size[None, y] - at[None, y]) >= need) & (family[x, None] != family[None, y]) & ((side[x, None] + side[None, y]) % 3 == 0)
                 if i == j:
                     ok &= np.tri(ok.shape[0], k=-1, dtype=bool)
                 p, q = np.nonzero(ok)
                 apart = sum(np.bitwise_count(f[i + p] ^ f[j + q]).astype(np.int64) for f in bits)
                 near = apart <= size[i + p].astype(np.int64) + size[j + q] - 2 * need[p, q]
                 if near.any():
-                    yield doc[i + p[near]], doc[j + q[near]]
+                    a, b = star[i + p[near]], star[j + q[near]]
+                    yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        seen_a: list[np.ndarray] = []
-        seen_b: list[np.ndarray] = []
+        rest: list[pa.Table] = []  # of a list that may go on
+        seen: list[np.ndarray] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            p = np.unique(np.stack([np.concatenate(seen_a), np.concatenate(seen_b)], 1), axis=0)
+            nonlocal seen, held
+            p = np.unique(np.concatenate(seen), axis=0)
+            seen, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-        def lists(table: pa.Table) -> None:
+        def lists(table: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            h, size, at, doc, family, *bits = (table.column(c).to_numpy() for c in entry_schema.names)
+            h, size, at, star, family, side, *bits = (table.column(c).to_numpy() for c in ("h", "size", "at", "star", "family", "side", *entry_schema.names[6:]))
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            for i, j in zip(head, np.append(head[1:], len(h)), strict=True):
-                if j - i > 1 and (j - i > 2 or family[i] != family[i + 1]):
-                    for a, b in pairs(size[i:j], at[i:j], doc[i:j], family[i:j], [f[i:j].view(U) for f in bits]):
-                        seen_a.append(np.minimum(a, b))
-                        seen_b.append(np.maximum(a, b))
-                        held += len(a)
+            end = np.append(head[1:], len(h))
+            for i, j in zip(head[end - head > 1], end[end - head > 1], strict=True):
+                if j - i > 2 or family[i] != family[i + 1]:
+                    for found in pairs(size[i:j], at[i:j], star[i:j], family[i:j], side[i:j], [f[i:j].view(U) for f in bits]):
+                        seen.append(found)
+                        held += len(found)
+                        if held > 500_000:
+                            yield out()
 
         for b in batches:
             if not b.num_rows:
                 continue
+            h = b.column("h").to_numpy()
+            last = int(np.searchsorted(h, h[-1])) if not rest or rest[-1].column("h")[-1].as_py() != h[-1] else 0
             table = pa.Table.from_batches([b])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            h = table.column("h").to_numpy()
-            last = int(np.searchsorted(h, h[-1]))  # the last list may go on
             if last:
-                lists(table.slice(0, last))
-            rest = table.slice(last)
-            if held > 1_000_000:
-                yield out()
-                seen_a, seen_b, held = [], [], 0
-        if rest is not None:
-            lists(rest)
+                yield from lists(pa.concat_tables([*rest, table.slice(0, last)]))
+                rest = []
+            elif rest and rest[-1].column("h")[-1].as_py() != h[0]:
+                yield from lists(pa.concat_tables(rest))
+                rest = []
+            rest.append(table.slice(last))
+        if rest:
+            yield from lists(pa.concat_tables(rest))
         if held:
             yield out()
 
-    ddl = "h bigint, size int, at int, doc_id bigint, family bigint" + "".join(f", p{k} bigint" for k in range(FOLD))
-    each = sets.select("doc_id", "family", "parity", "hashes").mapInArrow(entries, ddl)
+    ddl = "h bigint, size int, at int, doc_id bigint, star bigint, family bigint" + "".join(f", p{k} bigint" for k in range(FOLD))
+    each = sets.select("doc_id", "star", "family", "parity", "hashes").mapInArrow(entries, ddl)
+    counts = in_prefixes(sets, percent, common, True).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LONG)
+    long_lists = sets.sparkSession.createDataFrame([], "h bigint, lots int")
+    held_long = bitmap(counts.select("h"), COMMON_BITS)
+    if held_long.any():
+        long_lists = counts.select("h", F.ceil(F.col("n") / LONG).cast("int").alias("lots"))
+        marks = sets.sparkSession.sparkContext.broadcast(held_long)
+
+        def routed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.append_column("long", pa.array(in_bitmap(b.column("h").to_numpy(), marks.value, COMMON_BITS)))
+
+        each = each.mapInArrow(routed, ddl + ", long boolean")
+        short = each.where("not long").drop("long").withColumn("side", F.lit(0))
+        cut = each.where("long").drop("long").join(long_lists, "h", "left").withColumn("lots", F.coalesce("lots", F.lit(1))).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int"))
+        met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        side = F.when(F.col("lot") == F.col("other"), 0).when(F.col("lot") < F.col("other"), 1).otherwise(2)
+        key = F.when(F.col("lots") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("lot", "other"), F.greatest("lot", "other")))
+        each = short.unionByName(met.select(*[key.alias("h") if c == "h" else F.col(c) for c in entry_schema.names], side.alias("side")))
+    else:
+        each = each.withColumn("side", F.lit(0))
     parts = shuffle_partitions(sets.sparkSession)
-    ordered = each.repartition(parts, "h").sortWithinPartitions("h", "size", "at", "doc_id")
-    return near_enough(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), sets, percent, "a", "b")
+    ordered = each.drop("doc_id").repartition(parts, "h").sortWithinPartitions("h", "size", "at")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Step 5: the pairs a, b that link.
+def member_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, room: int = 1 << 20) -> DataFrame:
+    """Step 6: a, b: one link, if there is any, for each two lots of members of the stars in ``pairs`` (p, q, apart).
 
-    ``members`` has doc_id, pivot, plus and minus for every document of ``sets``, a pivot's own without any.
+    ``members`` has doc_id, star, size, apart, plus and minus. Only members that the distance of the pivots doesn't rule
+    out are read; lots have about ``room`` bytes. A member's overlap with a set is its pivot's, corrected by its
+    difference; pairs are tried in the order of least differing parities.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def first_link(p: np.ndarray, q: np.ndarray, left, right) -> tuple[int, int] | None:
+        pairs_of = []
+        y = [np.union1d(np.setdiff1d(q, m, True), s) for _, s, m in right]
+        marks = np.stack([np.frombuffer(parity(s), np.uint64) for s in y])
+        x = [np.union1d(np.setdiff1d(p, m, True), s) for _, s, m in left]
+        sizes = np.array([len(s) for s in y], np.int64)
+        for k, s in enumerate(x):
+            apart = np.bitwise_count(marks ^ np.frombuffer(parity(s), np.uint64)).sum(1).astype(np.int64)
+            ok = np.flatnonzero((100 + percent) * np.maximum(apart, np.abs(sizes - len(s))) <= (100 - percent) * (sizes + len(s)))
+            pairs_of += [(int(apart[m]), m, k) for m in ok]
+        base: dict[int, int] = {}
+        for _, m, k in sorted(pairs_of):
+            if m not in base:
+                base[m] = overlap(p, y[m])
+            o = base[m] + overlap(left[k][1], y[m]) - overlap(left[k][2], y[m])
+            if 100 * o >= percent * (len(x[k]) + len(y[m]) - o):
+                return left[k][0], right[m][0]
+        return None
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, other, base = None, None, None, 0
-        for t in batches:
-            a, b = [], []
-            for r in range(t.num_rows):
-                key = (t.column("b")[r].as_py(), t.column("pivot")[r].as_py())
-                if key != last:
-                    last, pivot, other = key, to_set(t.column("hp")[r].as_py()), to_set(t.column("hb")[r].as_py())
-                    base = overlap(pivot, other)
-                plus, minus = to_set(t.column("plus")[r].as_py()), to_set(t.column("minus")[r].as_py())
-                o = base + overlap(plus, other) - overlap(minus, other)
-                if 100 * o >= percent * (len(pivot) + len(plus) - len(minus) + len(other) - o):
-                    a.append(t.column("a")[r].as_py())
-                    b.append(key[0])
-            yield batch(schema, a=a, b=b)
+        key, pivots, lots = None, [None, None], [[], []]
 
-    hashes = sets.select("doc_id", "hashes")
-    rows = pairs.join(members.withColumnRenamed("doc_id", "a"), "a").join(hashes.toDF("pivot", "hp"), "pivot").join(hashes.toDF("b", "hb"), "b")
-    ordered = rows.sortWithinPartitions("b", "pivot").select("a", "b", "pivot", "plus", "minus", "hp", "hb")
+        def done() -> list[tuple[int, int]]:
+            if not (key and lots[0] and lots[1]):
+                return []
+            found = first_link(*pivots, *lots)
+            return [found] if found else []
+
+        for t in batches:
+            rows = []
+            for p, q, i, j, kind, doc, plus, minus in zip(*(t.column(k) for k in ("p", "q", "i", "j", "kind", "doc_id", "plus", "minus")), strict=True):
+                now = (p.as_py(), q.as_py(), i.as_py(), j.as_py())
+                if now != key:
+                    rows += done()
+                    key, pivots, lots = now, [None, None], [[], []]
+                k, data = kind.as_py(), to_set(plus.as_py())
+                if k < 2:
+                    pivots[k] = data
+                else:
+                    lots[k - 2].append((doc.as_py(), data, to_set(minus.as_py())))
+            yield batch(schema, a=[r[0] for r in rows], b=[r[1] for r in rows])
+        rows = done()
+        yield batch(schema, a=[r[0] for r in rows], b=[r[1] for r in rows])
+
+    spark = sets.sparkSession
+    reach = members.withColumn("reach", (100 - percent) * F.col("size") + (100 + percent) * F.col("apart"))
+    top = reach.groupBy("star").agg(F.max("reach").alias("top"))
+    facts = pairs.join(top.toDF("p", "tp"), "p").join(top.toDF("q", "tq"), "q").withColumn("least", (100 + percent) * F.col("apart"))
+    both = facts.select("p", "q", "least", F.lit(2).alias("kind"), F.col("p").alias("star"), F.col("tq").alias("far")).unionByName(facts.select("p", "q", "least", F.lit(3).alias("kind"), F.col("q").alias("star"), F.col("tp").alias("far")))
+    rows = both.join(reach.select("star", "doc_id", "reach", "plus", "minus"), "star").where("least <= reach + far").drop("least", "far", "reach", "star")
+    lots = rows.groupBy("p", "q").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == k, F.length("plus") + F.length("minus") + 512)), F.lit(0)) / room)).cast("int").alias(n) for k, n in ((2, "li"), (3, "lj"))])
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("kind") == 2, F.col("li")).otherwise(F.col("lj"))).cast("int")
+    dealt = rows.join(lots, ["p", "q"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 2, F.col("lj")).otherwise(F.col("li")) - 1)))
+    left = F.col("kind") == 2
+    dealt = dealt.select("p", "q", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "kind", "doc_id", "plus", "minus")
+    cells = lots.select("p", "q", F.explode(F.sequence(F.lit(0), F.col("li") - 1)).alias("i"), "lj").select("p", "q", "i", F.explode(F.sequence(F.lit(0), F.col("lj") - 1)).alias("j"))
+    nothing = F.lit(b"")
+    for kind, c in enumerate(("p", "q")):
+        pivot = cells.join(sets.select(F.col("doc_id").alias(c), "hashes"), c).select("p", "q", "i", "j", F.lit(kind).alias("kind"), F.col(c).alias("doc_id"), F.col("hashes").alias("plus"), nothing.alias("minus"))
+        dealt = dealt.unionByName(pivot)
+    ordered = dealt.repartition(shuffle_partitions(spark), "p", "q", "i", "j").sortWithinPartitions("p", "q", "i", "j", "kind")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -421,15 +534,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     made = made.where("size > 0").join(classes.select(F.col("class").alias("doc_id"), "size", "f1", "f2"), ["doc_id", "size", "f1", "f2"], "left_semi")
     sets = scratch.save(made.groupBy("doc_id", "size", "f1", "f2").agg(F.first("parity").alias("parity"), F.first("hashes").alias("hashes")).drop("f1", "f2"), "sets")
     linked = scratch.save(families(sets, percent), "families")
-    near = components(linked.select("a", F.col("pivot").alias("b")), scratch).toDF("doc_id", "family")
-    grouped = scratch.save(sets.join(near, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id")), "grouped")
-    nothing = F.lit(b"")
-    chosen = linked.groupBy("a").agg(F.min(F.struct("pivot", "plus", "minus")).alias("m"))
-    members = sets.select("doc_id").join(chosen.withColumnRenamed("a", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("m.pivot", "doc_id").alias("pivot"), F.coalesce("m.plus", nothing).alias("plus"), F.coalesce("m.minus", nothing).alias("minus"))
-    links = scratch.save(verified(candidates(grouped, percent), sets, members, percent), "links")
-    scratch.drop(sets)
-    final = components(links.unionByName(linked.select("a", F.col("pivot").alias("b"))), scratch).toDF("class", "component")
-    scratch.drop(grouped)
+    near = components(linked.select("a", "b"), scratch).toDF("doc_id", "family")
+    nothing, none = F.lit(b""), F.lit(0).cast("bigint")
+    chosen = linked.groupBy("a").agg(F.min(F.struct("b", "apart", "plus", "minus")).alias("m")).withColumnRenamed("a", "doc_id")
+    members = sets.select("doc_id", "size").join(chosen, "doc_id", "left")
+    members = scratch.save(members.select("doc_id", "size", F.coalesce("m.b", "doc_id").alias("star"), F.coalesce("m.apart", none).alias("apart"), F.coalesce("m.plus", nothing).alias("plus"), F.coalesce("m.minus", nothing).alias("minus")), "members")
+    grouped = scratch.save(sets.join(members.select("doc_id", "star"), "doc_id").join(near, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id")), "grouped")
+    reach = members.groupBy("star").agg(F.max((100 - percent) * F.col("size") + (100 + percent) * F.col("apart")).alias("reach")).withColumnRenamed("star", "doc_id")
+    facts = scratch.save(sets.select("doc_id", "size", "parity").join(reach, "doc_id"), "facts")
+    met = scratch.save(differences(near_enough(candidates(grouped, percent), facts, percent, "a", "b"), sets, percent, False).join(facts.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b").select("a", "b", "apart", ((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).alias("links")), "met")
+    links = linked.select("a", "b").unionByName(met.where("links").select("a", "b"))
+    so_far = components(links, scratch)
+    part = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    undecided = met.where("not links").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select(F.col("a").alias("p"), F.col("b").alias("q"), "apart")
+    more = scratch.save(member_links(scratch.save(undecided, "undecided"), members, sets, percent), "links")
+    final = components(links.unionByName(more), scratch).toDF("class", "component")
+    scratch.drop(sets, grouped, members, facts)
     classes = classes.join(final, "class", "left").select("size", "f1", "f2", F.coalesce("component", "class").alias("component"))
     done = open_rows.join(classes, ["size", "f1", "f2"]).select("doc_id", "size", "component", "settled")
     out = state.where("settled").select("doc_id", "size", F.col("doc_id").alias("component"), "settled").unionByName(done)

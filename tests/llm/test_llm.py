@@ -73,6 +73,31 @@ def test_jaccard_components_equal_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def chained_copies(seed):
+    """Groups in which neighbours are near and ends are not: many links that no pivot sees, and many near misses."""
+    rng, rows = np.random.default_rng(seed), []
+    for g in range(6):
+        w = made(3000 + g, int(rng.integers(90, 400))).split()
+        for _ in range(25):
+            rows.append(" ".join(w))
+            w = w.copy()
+            for at in rng.choice(len(w), max(1, len(w) // int(rng.integers(40, 60))), replace=False):
+                w[at] = made(int(rng.integers(1e9)), 1)
+    order = rng.permutation(len(rows))
+    return [(int(i), rows[k]) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_of_chains_with_small_lots(spark, monkeypatch, seed):
+    """Long lists cut into lots, stars into lots of a few members, pivots' partners into tasks of two."""
+    monkeypatch.setattr(setjoin, "LONG", 3)
+    monkeypatch.setattr(setjoin.member_links, "__defaults__", (3000,))
+    monkeypatch.setattr(setjoin.differences, "__defaults__", (2,))
+    rows = chained_copies(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_on_awkward_rows(spark):
     df = frame(spark, AWKWARD).withColumn("n_shingles", F.lit("clash")).withColumn("component", F.lit(1)).withColumn("bucket", F.lit(2))
     rows = setjoin.jaccard_components(df).collect()
