@@ -20,9 +20,9 @@ The plan, in the order of its steps:
    are cut into lots that meet in tasks of their own.
 5. The pivots of two stars are compared. They link, or their distance, less the distances of the members from them,
    rules out every link between the stars, or the pair is undecided; a star of one document leaves nothing undecided.
-6. Undecided pairs whose stars links have joined in the meantime need no more work. For the others, lots of members
-   meet; a member's overlap with a set is its pivot's, computed once, corrected by the member's difference. The first
-   link found is enough.
+6. Undecided pairs whose stars links have joined in the meantime need no more work. For the others, answers are
+   derived from the pivot's: all members are seen as differences from one pivot, and meet where prefixes of their
+   differences do.
 7. Components of the links.
 """
 
@@ -100,8 +100,8 @@ def near_enough(pairs: DataFrame, facts: DataFrame, percent: int, x: str, y: str
     return both.select(x, y, "most", "px", "py").mapInArrow(run, f"{x} bigint, {y} bigint, most bigint")
 
 
-def differences(pairs: DataFrame, sets: DataFrame, percent: int, elements: bool, split: int = 512) -> DataFrame:
-    """a, b, apart (and plus, minus: what a's set has more and less than b's) for pairs a, b, most that are near enough.
+def differences(pairs: DataFrame, sets: DataFrame, percent: int, split: int = 512) -> DataFrame:
+    """a, b, apart, plus, minus (what a's set has more and less than b's) for pairs a, b, most that are near enough.
 
     A task reads the set of b, then those of its partners a, one after the other. The partners of one b are dealt to
     as many tasks as they need, ``split`` to each.
@@ -121,7 +121,7 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int, elements: bool,
                     raise ValueError(f"the set of {b} is missing")
                 apart = len(x) + len(base) - 2 * overlap(x, base)
                 if (100 + percent) * apart <= most.as_py():
-                    rows.append((a, b, apart, *((np.setdiff1d(x, base, True).tobytes(), np.setdiff1d(base, x, True).tobytes()) if elements else (b"", b""))))
+                    rows.append((a, b, apart, np.setdiff1d(x, base, True).tobytes(), np.setdiff1d(base, x, True).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     hashes = sets.select("doc_id", "hashes")
@@ -300,7 +300,7 @@ def families(sets: DataFrame, percent: int, sketches: int = 3, pivots: int = 3)
     orders = [F.min("a"), *(F.min_by("a", F.xxhash64("a", F.lit(j))) for j in range(1, pivots))]
     chosen = each.groupBy("k").agg(F.array_distinct(F.array(*orders)).alias("pivots"), F.count("a").alias("n")).where("n > 1")
     pairs = each.join(chosen, "k").select("a", F.explode("pivots").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return differences(near_enough(pairs, sets.withColumn("reach", (100 - percent) * F.col("size")), percent, "a", "b"), sets, percent, True)
+    return differences(near_enough(pairs, sets.withColumn("reach", (100 - percent) * F.col("size")), percent, "a", "b"), sets, percent)
 
 
 LONG = 2048  # entries of a list that one task compares
@@ -421,77 +421,70 @@ def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def member_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, room: int = 1 << 20) -> DataFrame:
-    """Step 6: a, b: one link, if there is any, for each two lots of members of the stars in ``pairs`` (p, q, apart).
+def member_links(pairs: DataFrame, members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Step 6: a, b: the links between the stars in ``pairs`` (p, q, p_only, q_only), whose pivots p and q don't link.
 
-    ``members`` has doc_id, star, size, apart, plus and minus. Only members that the distance of the pivots doesn't rule
-    out are read; lots have about ``room`` bytes. A member's overlap with a set is its pivot's, corrected by its
-    difference; pairs are tried in the order of least differing parities.
+    ``members`` has doc_id, star, size, plus and minus. All sets are seen as differences from p, the pivot of the larger
+    star: two sets differ in |A| + |B| - 2 |A and B| elements if these are their differences from p. A set b of the
+    other star that doesn't link with p links with a only if the differences share so many elements that they
+    meet in prefixes of them, elements that p lacks first: for independent changes these are seldom equal.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def first_link(p: np.ndarray, q: np.ndarray, left, right) -> tuple[int, int] | None:
-        pairs_of = []
-        y = [np.union1d(np.setdiff1d(q, m, True), s) for _, s, m in right]
-        marks = np.stack([np.frombuffer(parity(s), np.uint64) for s in y])
-        x = [np.union1d(np.setdiff1d(p, m, True), s) for _, s, m in left]
-        sizes = np.array([len(s) for s in y], np.int64)
-        for k, s in enumerate(x):
-            apart = np.bitwise_count(marks ^ np.frombuffer(parity(s), np.uint64)).sum(1).astype(np.int64)
-            ok = np.flatnonzero((100 + percent) * np.maximum(apart, np.abs(sizes - len(s))) <= (100 - percent) * (sizes + len(s)))
-            pairs_of += [(int(apart[m]), m, k) for m in ok]
-        base: dict[int, int] = {}
-        for _, m, k in sorted(pairs_of):
-            if m not in base:
-                base[m] = overlap(p, y[m])
-            o = base[m] + overlap(left[k][1], y[m]) - overlap(left[k][2], y[m])
-            if 100 * o >= percent * (len(x[k]) + len(y[m]) - o):
-                return left[k][0], right[m][0]
-        return None
+    whole, part = 100 + percent, 100 - percent
+    far_schema = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("doc_id", pa.int64()), ("plus", pa.binary()), ("minus", pa.binary()), ("u", pa.int64())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivots, lots = None, [None, None], [[], []]
+    def from_p(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            rows = []
+            for p, q, doc, size, *parts in zip(*(t.column(k) for k in ("p", "q", "doc_id", "size", "p_only", "q_only", "plus", "minus")), strict=True):
+                p_only, q_only, plus, minus = (to_set(x.as_py()) for x in parts)
+                more = np.union1d(np.setdiff1d(q_only, minus, True), np.setdiff1d(plus, p_only, True))
+                less = np.union1d(np.setdiff1d(p_only, plus, True), np.setdiff1d(minus, q_only, True))
+                rows.append((p.as_py(), q.as_py(), doc.as_py(), more.tobytes(), less.tobytes(), whole * (len(more) + len(less)) - part * size.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(far_schema)], schema=far_schema)
 
-        def done() -> list[tuple[int, int]]:
-            if not (key and lots[0] and lots[1]):
-                return []
-            found = first_link(*pivots, *lots)
-            return [found] if found else []
+    entry_schema = pa.schema([("p", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64())])
 
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            rows = []
-            for p, q, i, j, kind, doc, plus, minus in zip(*(t.column(k) for k in ("p", "q", "i", "j", "kind", "doc_id", "plus", "minus")), strict=True):
-                now = (p.as_py(), q.as_py(), i.as_py(), j.as_py())
-                if now != key:
-                    rows += done()
-                    key, pivots, lots = now, [None, None], [[], []]
-                k, data = kind.as_py(), to_set(plus.as_py())
-                if k < 2:
-                    pivots[k] = data
-                else:
-                    lots[k - 2].append((doc.as_py(), data, to_set(minus.as_py())))
-            yield batch(schema, a=[r[0] for r in rows], b=[r[1] for r in rows])
-        rows = done()
-        yield batch(schema, a=[r[0] for r in rows], b=[r[1] for r in rows])
-
-    spark = sets.sparkSession
-    reach = members.withColumn("reach", (100 - percent) * F.col("size") + (100 + percent) * F.col("apart"))
-    top = reach.groupBy("star").agg(F.max("reach").alias("top"))
-    facts = pairs.join(top.toDF("p", "tp"), "p").join(top.toDF("q", "tq"), "q").withColumn("least", (100 + percent) * F.col("apart"))
-    both = facts.select("p", "q", "least", F.lit(2).alias("kind"), F.col("p").alias("star"), F.col("tq").alias("far")).unionByName(facts.select("p", "q", "least", F.lit(3).alias("kind"), F.col("q").alias("star"), F.col("tp").alias("far")))
-    rows = both.join(reach.select("star", "doc_id", "reach", "plus", "minus"), "star").where("least <= reach + far").drop("least", "far", "reach", "star")
-    lots = rows.groupBy("p", "q").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == k, F.length("plus") + F.length("minus") + 512)), F.lit(0)) / room)).cast("int").alias(n) for k, n in ((2, "li"), (3, "lj"))])
-    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("kind") == 2, F.col("li")).otherwise(F.col("lj"))).cast("int")
-    dealt = rows.join(lots, ["p", "q"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 2, F.col("lj")).otherwise(F.col("li")) - 1)))
-    left = F.col("kind") == 2
-    dealt = dealt.select("p", "q", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "kind", "doc_id", "plus", "minus")
-    cells = lots.select("p", "q", F.explode(F.sequence(F.lit(0), F.col("li") - 1)).alias("i"), "lj").select("p", "q", "i", F.explode(F.sequence(F.lit(0), F.col("lj") - 1)).alias("j"))
-    nothing = F.lit(b"")
-    for kind, c in enumerate(("p", "q")):
-        pivot = cells.join(sets.select(F.col("doc_id").alias(c), "hashes"), c).select("p", "q", "i", "j", F.lit(kind).alias("kind"), F.col(c).alias("doc_id"), F.col("hashes").alias("plus"), nothing.alias("minus"))
-        dealt = dealt.unionByName(pivot)
-    ordered = dealt.repartition(shuffle_partitions(spark), "p", "q", "i", "j").sortWithinPartitions("p", "q", "i", "j", "kind")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+            p, h, doc = [], [np.empty(0, U)], []
+            for star, i, plus, minus, u, other in zip(*(t.column(k) for k in ("p", "doc_id", "plus", "minus", "u", "other")), strict=True):
+                d = np.concatenate([to_set(plus.as_py()), to_set(minus.as_py())])
+                need = max(1, -(-(u.as_py() + other.as_py()) // (2 * whole)))
+                d = d[: max(0, len(d) - need + 1)]
+                h.append(d)
+                p += [star.as_py()] * len(d)
+                doc += [i.as_py()] * len(d)
+            yield batch(entry_schema, p=p, h=np.concatenate(h).astype(np.int64), doc_id=doc)
+
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            a, b = [], []
+            for x, y, u, v, *parts in zip(*(t.column(k) for k in ("a", "b", "u", "v", "pa", "ma", "pb", "mb")), strict=True):
+                more_a, less_a, more_b, less_b = (to_set(z.as_py()) for z in parts)
+                if u.as_py() + v.as_py() <= 2 * whole * (overlap(more_a, more_b) + overlap(less_a, less_b)):
+                    a.append(x.as_py())
+                    b.append(y.as_py())
+            yield batch(link_schema, a=a, b=b)
+
+    count = members.groupBy("star").agg(F.count("*").alias("n"))
+    both = pairs.join(count.toDF("p", "np"), "p").join(count.toDF("q", "nq"), "q").withColumn("keep", F.col("np") >= F.col("nq"))
+    turned = both.select(*[F.when(F.col("keep"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("p", "q"), ("q", "p"), ("p_only", "q_only"), ("q_only", "p_only"))])
+    own = members.select(F.col("star").alias("q"), "doc_id", "size", "plus", "minus")
+    far = scratch.save(turned.join(own, "q").mapInArrow(from_p, "p bigint, q bigint, doc_id bigint, plus binary, minus binary, u bigint").join(members.select(F.col("doc_id").alias("p"), (part * F.col("size")).cast("bigint").alias("up")), "p").withColumn("near", F.col("u") <= F.col("up")), "far")
+    direct = far.where("near").select(F.col("p").alias("a"), F.col("doc_id").alias("b"))
+    rest = far.join(far.where("near").select("p", "q").distinct(), ["p", "q"], "left_anti").drop("near", "up")
+    least_far = rest.groupBy("p").agg(F.min("u").alias("other"))
+    close = members.withColumnRenamed("star", "p").join(least_far, "p").withColumn("u", (whole * F.col("apart") - part * F.col("size")).cast("bigint"))
+    least_close = close.groupBy("p").agg(F.min("u").alias("other"))
+    ddl = "p bigint, h bigint, doc_id bigint"
+    first = close.select("p", "doc_id", "plus", "minus", "u", "other").mapInArrow(entries, ddl).withColumnRenamed("doc_id", "a")
+    second = rest.select("p", "doc_id", "plus", "minus", "u").dropDuplicates(["p", "doc_id"]).join(least_close, "p").mapInArrow(entries, ddl).withColumnRenamed("doc_id", "b")
+    met = first.join(second, ["p", "h"]).select("p", "a", "b").distinct()
+    met = met.join(close.select("p", F.col("doc_id").alias("a"), "u", F.col("plus").alias("pa"), F.col("minus").alias("ma")), ["p", "a"])
+    met = met.join(rest.select("p", F.col("doc_id").alias("b"), F.col("u").alias("v"), F.col("plus").alias("pb"), F.col("minus").alias("mb")), ["p", "b"])
+    return direct.unionByName(met.select("a", "b", "u", "v", "pa", "ma", "pb", "mb").mapInArrow(verify, "a bigint, b bigint"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -542,12 +535,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     grouped = scratch.save(sets.join(members.select("doc_id", "star"), "doc_id").join(near, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id")), "grouped")
     reach = members.groupBy("star").agg(F.max((100 - percent) * F.col("size") + (100 + percent) * F.col("apart")).alias("reach")).withColumnRenamed("star", "doc_id")
     facts = scratch.save(sets.select("doc_id", "size", "parity").join(reach, "doc_id"), "facts")
-    met = scratch.save(differences(near_enough(candidates(grouped, percent), facts, percent, "a", "b"), sets, percent, False).join(facts.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b").select("a", "b", "apart", ((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).alias("links")), "met")
+    met = scratch.save(differences(near_enough(candidates(grouped, percent), facts, percent, "a", "b"), sets, percent).join(facts.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b").select("a", "b", "plus", "minus", ((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).alias("links")), "met")
     links = linked.select("a", "b").unionByName(met.where("links").select("a", "b"))
     so_far = components(links, scratch)
     part = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    undecided = met.where("not links").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select(F.col("a").alias("p"), F.col("b").alias("q"), "apart")
-    more = scratch.save(member_links(scratch.save(undecided, "undecided"), members, sets, percent), "links")
+    undecided = met.where("not links").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("plus").alias("p_only"), F.col("minus").alias("q_only"))
+    more = scratch.save(member_links(undecided, members, scratch, percent), "links")
     final = components(links.unionByName(more), scratch).toDF("class", "component")
     scratch.drop(sets, grouped, members, facts)
     classes = classes.join(final, "class", "left").select("size", "f1", "f2", F.coalesce("component", "class").alias("component"))

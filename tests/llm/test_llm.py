@@ -89,9 +89,8 @@ def chained_copies(seed):
 
 @pytest.mark.parametrize("seed", [3, 4])
 def test_jaccard_of_chains_with_small_lots(spark, monkeypatch, seed):
-    """Long lists cut into lots, stars into lots of a few members, pivots' partners into tasks of two."""
+    """Long lists cut into lots, pivots' partners into tasks of two."""
     monkeypatch.setattr(setjoin, "LONG", 3)
-    monkeypatch.setattr(setjoin.member_links, "__defaults__", (3000,))
     monkeypatch.setattr(setjoin.differences, "__defaults__", (2,))
     rows = chained_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.jaccard_components(frame(spark, rows)).collect()}
