@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import storage
 from .functions import agg, expr
 from .functions import types as ty
 
@@ -406,29 +407,40 @@ def from_frame(df: DataFrame, value: str | Column, index: Sequence[str] | None =
     return Array(frame, shape, dtype or frame.schema["v"].dataType)
 
 
+def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows in ranges of the order, numbered by ``_part``, as a table in the shared folder.
+
+    Which range a row falls in is decided once: bounds that were sampled again, for another branch of the plan or
+    after a lost executor, would be others.
+    """
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    return storage.written(parts, "ranges")
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
     """Dense 0-based row numbers in an order, without one partition for all rows.
 
-    Rows are range-partitioned by the order, numbered inside their partition, and offset by the number of rows in
-    the partitions before; only one count for each partition is gathered.
+    Rows are range-partitioned by the order and written, numbered inside their range, and offset by the number of
+    rows in the ranges before; only one count for each range is gathered. Rows that the order leaves equal are numbered
+    in any order.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = ranged(df, order)
     inside = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    total = inside.groupBy("_part").agg(F.count("*").alias("_n"))
+    total = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = total.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")  # one row a partition
+    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")  # one row a range
 
 
 def scan(df: DataFrame, order: Sequence[str], value: Column, name: str = "scan", product: bool = False) -> DataFrame:
-    """Running sum (or product) over all rows in an order: partial scans by range partition, offset by totals before."""
+    """Running sum (or product) over all rows in an order: partial scans by written range, offset by totals before."""
     f = F.product if product else F.sum
-    numbered = df.withColumn("_v", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = numbered.withColumn("_s", f("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    total = numbered.groupBy("_part").agg(f("_v").alias("_t"))
+    parts = ranged(df.withColumn("_v", value), order)
+    inside = parts.withColumn("_s", f("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    total = parts.groupBy("_part").agg(f("_v").alias("_t"))
     before = total.select("_part", f("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     start = F.coalesce("_before", F.lit(1.0 if product else 0))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_s") * start if product else F.col("_s") + start).drop("_v", "_part", "_s", "_before")  # one row a partition
+    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_s") * start if product else F.col("_s") + start).drop("_v", "_part", "_s", "_before")  # one row a range
 
 
 def lift(x, like: Array) -> Array:

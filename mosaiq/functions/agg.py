@@ -92,7 +92,7 @@ def median(x, sketched: bool = False):
 
 
 def percentile(x, q: float, interpolation: str = "linear", sketched: bool = False, accuracy: int = 10000):
-    """The q-th percentile (0 to 100): linear, lower, higher, midpoint or nearest between neighbours, or sketched."""
+    """The q-th percentile (0 to 100): linear, lower, higher, midpoint or nearest between neighbours, or sketched. NaN is the largest value here; it does not propagate."""
     if not 0 <= q <= 100:
         raise ValueError("q must lie between 0 and 100")
     if sketched:

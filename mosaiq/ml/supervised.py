@@ -68,14 +68,16 @@ class GaussianNB(BaseEstimator, ClassificationMixin):
         if sample_weight is not None:
             rows, w = rows.join(sample_weight.select("row_id", F.col("weight").cast("double").alias("_w")), "row_id"), F.col("_w")
         long = rows.select("label", w.alias("_w"), F.posexplode("x").alias("j", "v"))
-        t = long.groupBy("label", "j").agg(F.sum("_w").alias("n"), (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("mean"), F.sum(F.col("_w") * F.col("v") * F.col("v")).alias("sq")).toPandas()
+        t = long.groupBy("label", "j").agg(F.sum("_w").alias("n"), (F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("mean"))
+        off = F.col("v") - F.col("mean")  # squares are taken around the mean, so large means lose no digits
+        t = long.join(t, ["label", "j"]).groupBy("label", "j").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(F.col("_w") * off * off).alias("m2")).toPandas()
         spread = by_feature(vectors(x), F.var_pop("v").alias("v")).agg(F.max("v")).first()[0] or 0.0
         self.epsilon_ = self.var_smoothing * spread
         state = dict(getattr(self, "_state", None) or {})
         for label, g in t.groupby("label"):
             g = g.sort_values("j")
             n, mean = g["n"].to_numpy()[0], g["mean"].to_numpy()
-            m2 = np.maximum(g["sq"].to_numpy() - n * mean * mean, 0)
+            m2 = g["m2"].to_numpy()
             if label in state:
                 n0, mean0, m20 = state[label]
                 d = mean - mean0

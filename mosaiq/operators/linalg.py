@@ -435,6 +435,8 @@ def polar(a, r=None, calcH=True, **_):  # noqa: N803
         raise ValueError("needs at least as many rows as columns")
     r_ = reduced(rows_of(a), lambda b: _r_of(matrix(b)), lambda x, y: _r_of(np.vstack([x, y])))
     _, s, vt = np.linalg.svd(r_, full_matrices=False)
+    if s.min() <= s.max() * n * np.finfo(float).eps:
+        raise ValueError("needs full column rank: the orthonormal factor isn't unique")
     u = from_rows(times(rows_of(a), vt.T @ np.diag(1 / s) @ vt), m, n)
     return Polar(u, array(vt.T @ np.diag(s) @ vt)) if calcH else u
 

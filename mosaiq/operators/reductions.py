@@ -280,3 +280,5 @@ def topk(a, k, dim=-1, largest=True, sorted=True, out=None):  # noqa: A002
 
 for _f in (sum, prod, all, any, max, min, ptp, argmax, argmin, mean, average, var, std, skew, kurtosis, percentile, median, cumsum, cumprod, diff, norm, nansum, nanprod):
     setattr(Array, _f.__name__, _f)
+Array.cumsum_ = lambda a, axis=0: cumsum(a, axis).astype(a.dtype)
+Array.cumprod_ = lambda a, axis=0: cumprod(a, axis).astype(a.dtype)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import mosaiq as mq
+from mosaiq.array import number_rows, scan
 from mosaiq.functions import types as ty
 
 A = np.array([[1.5, -2.0, 0.0, 3.25], [-0.5, 7.0, 2.0, -9.0], [4.0, 4.0, -1.0, 0.25]])
@@ -220,3 +222,43 @@ def test_array_api_namespace(spark):
     assert "float64" in info.dtypes(kind="real floating") and info.default_dtypes()["integral"] == "int64" and xp.isdtype("int8", "integral")
     with pytest.raises(ValueError):
         mq.array(A).__array_namespace__(api_version="1")
+
+
+def test_row_numbers_with_payload_columns(spark):
+    """Rows in random order, columns beside the order, many partitions: every number once, in order."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 300_000
+        df = spark.range(n).select(F.xxhash64("id").alias("k"), "id", F.col("id").cast("string").alias("payload"))
+        out = number_rows(df, ["k"])
+        got = out.agg(F.count("*"), F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).first()
+        assert tuple(got) == (n, n, 0, n - 1)
+        place = out.selectExpr("k", "lag(k) over (partition by row_id div 1000 order by row_id) b").where("b >= k").count()
+        assert place == 0
+        total = scan(df.select("k", "payload", F.lit(1).alias("one")), ["k"], F.col("one"), "s").agg(F.max("s"), F.countDistinct("s"), F.count("*")).first()
+        assert tuple(total) == (n, n, n)
+        assert number_rows(df.limit(0), ["k"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_in_place_scans_keep_the_type(spark):
+    a = mq.array(np.array([1, 2, 3, 4], "int32"))
+    assert a.cumsum_(0).numpy().tolist() == [1, 3, 6, 10] and a.cumprod_(0).numpy().tolist() == [1, 2, 6, 24]
+    assert a.cumsum_(0).dtype == a.dtype
+
+
+def test_pairwise_blocks_equal_numpy(spark):
+    """Several blocks on both sides; points that lie close together far from the origin."""
+    from mosaiq.operators import distance
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(23, 5)) * 1e-3 + 1e4, rng.normal(size=(11, 5)) * 1e-3 + 1e4
+    for other in (None, y):
+        b = x if other is None else other
+        want = np.sqrt(((x[:, None] - b[None]) ** 2).sum(2))
+        got = distance.pair_blocks(mq.array(x), None if other is None else mq.array(other), distance.euclidean, block=4).toPandas()
+        out = np.full(want.shape, np.nan)
+        out[got["i0"], got["i1"]] = got["v"]
+        assert len(got) == want.size and np.allclose(out, want, rtol=1e-9)
