@@ -179,17 +179,27 @@ def neighbour_lists(edges: DataFrame, keep: int, threshold: float) -> DataFrame:
     return cut.join(last, "u")
 
 
-def walked(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Neighbours of each node compared with each other: pairs that are nearer than what a list of theirs holds, and links as stars."""
-    fars = lists.select(F.col("u").alias("v"), "far").dropDuplicates(["v"])
-    rows = lists.select("u", "v").join(fars, "v").join(nodes.select(F.col("node").alias("v"), F.col("v").alias("x")), "v")
-    rows = rows.select("u", "v", "far", "x").repartition(shuffle_partitions(lists.sparkSession), "u").sortWithinPartitions("u", "v")
+def walked(lists: DataFrame, nodes: DataFrame, threshold: float, split: int = 256) -> DataFrame:
+    """Neighbours of neighbours: pairs that are nearer than what a list of theirs holds, and links as stars.
 
-    def one(v, far, x, out) -> None:
-        c = x @ x.T
-        p, q = np.nonzero(np.triu(c > np.minimum(far[:, None], far[None]), 1))
+    At each node u its list meets itself and the nodes that have u in theirs. Of these a hub has many; they are dealt
+    to tasks, ``split`` to each, and u's list goes to all of them.
+    """
+    fars = lists.select(F.col("u").alias("v"), "far").dropDuplicates(["v"])
+    parts = lists.groupBy("v").agg(F.ceil(F.count("*") / split).cast("int").alias("parts")).withColumnRenamed("v", "u")
+    back = lists.select(F.col("v").alias("u"), F.col("u").alias("v")).join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", F.lit(1).alias("side"))
+    own = lists.select("u", "v").join(parts, "u", "left").select("u", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "v", F.lit(0).alias("side"))
+    rows = own.unionByName(back).groupBy("u", "part", "v").agg(F.min("side").alias("side")).withColumn("u", F.xxhash64("u", "part"))
+    rows = rows.join(fars, "v").join(nodes.select(F.col("node").alias("v"), F.col("v").alias("x")), "v")
+    rows = rows.select("u", "v", "side", "far", "x").repartition(shuffle_partitions(lists.sparkSession), "u").sortWithinPartitions("u", "side", "v")
+
+    def one(v, near, far, x, out) -> None:
+        """The first ``near`` of these nodes are the list."""
+        c = x[:near] @ x.T
+        new = np.arange(near)[:, None] < np.arange(len(v))[None]
+        p, q = np.nonzero((c > np.minimum(far[:near, None], far[None])) & new)
         out.append((v[p], v[q], c[p, q], np.zeros(len(p), bool)))
-        p, q = np.nonzero(np.triu(c >= threshold, 1))
+        p, q = np.nonzero((c >= threshold) & new)
         if len(p):
             low = stars(p, q, len(v))
             tied = np.flatnonzero(low != np.arange(len(v)))
@@ -200,10 +210,11 @@ def walked(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             u, v, far, x = table.column("u").to_numpy(), table.column("v").to_numpy(), table.column("far").to_numpy(), unit_rows(table.column("x").combine_chunks())
+            side = table.column("side").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1], [True]]))
             out: list = []
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                one(v[i:j], far[i:j], x[i:j], out)
+                one(v[i:j], int((side[i:j] == 0).sum()), far[i:j], x[i:j], out)
             a, b, cos, link = (np.concatenate([o[k] for o in out]) for k in range(4))
             low, high = np.minimum(a, b), np.maximum(a, b)
             _, first = np.unique(np.rec.fromarrays([low, high, link]), return_index=True)
@@ -261,7 +272,7 @@ def audit(nodes: DataFrame, sizes: DataFrame, comp: DataFrame, threshold: float,
     return got.n, got.k
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot: int = 1000, turns: int = 3, rounds: int = 4, recall: float = 0.995, most_turns: int = 5, sample: int = 512) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.98, keep: int = 8, lot: int = 1000, turns: int = 3, rounds: int = 4, recall: float = 0.999, most_turns: int = 5, sample: int = 512) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept, from (vec_id, embedding, label).
 
     Vectors link if labels are equal and not null and their cosine is at least ``threshold`` (a cosine equal to it
