@@ -24,7 +24,9 @@ from .common import batch, text_blocks
 BLOCK_TAGS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul title".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = set("script style noscript template textarea svg math iframe object canvas head".split())
-CLOSED_BY = {"li": {"li"}, "p": BLOCK_TAGS - {"html", "body"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: Start tags that end an element whose end tag is left out, and what a head may hold.
+CLOSED_BY = {"li": {"li"}, "p": BLOCK_TAGS - {"html", "body"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
+HEAD_TAGS = set("base basefont bgsound link meta noframes noscript script style template title".split())
 PATH_SLOTS, WORD_SLOTS, MEASURES = 96, 32, 8
 WIDTH = 2 * PATH_SLOTS + WORD_SLOTS + MEASURES
 _trained: dict[tuple, list[np.ndarray]] = {}
@@ -53,7 +55,14 @@ class Leaves(HTMLParser):
             self.skip -= tag in SKIPPED_TAGS
         del self.path[k:]
 
+    def end_head(self, tag: str | None) -> None:
+        """A head without an end tag ends at text, at body, and at elements that it can't hold."""
+        k = max((i for i, (t, _) in enumerate(self.path) if t == "head"), default=-1)
+        if k >= 0 and (tag == "body" or k == len(self.path) - 1 and tag not in HEAD_TAGS):
+            self.pop(k)
+
     def handle_starttag(self, tag, attrs):
+        self.end_head(tag)
         if tag in BLOCK_TAGS:
             if not self.skip:
                 self.flush()
@@ -81,6 +90,8 @@ class Leaves(HTMLParser):
             self.pop(k)
 
     def handle_data(self, data):
+        if self.skip and data.strip():
+            self.end_head(None)
         if not self.skip:
             self.text.append(data)
             self.linked += len(data) * (self.in_link > 0)
@@ -116,8 +127,9 @@ def vector(path: list[str], text: str, linked: float, at: float) -> np.ndarray:
     for w in path[-3:]:
         x[PATH_SLOTS + slot(w, PATH_SLOTS)] = 1
     words = text.split()
-    for w in words[:8] + words[-4:]:
-        x[2 * PATH_SLOTS + slot(w.lower(), WORD_SLOTS)] += 0.25
+    if words:
+        at_words = np.bincount([zlib.crc32(w) % WORD_SLOTS for w in text.lower().encode("utf-8", "surrogatepass").split()], minlength=WORD_SLOTS)
+        x[2 * PATH_SLOTS : 2 * PATH_SLOTS + WORD_SLOTS] = at_words * min(0.25, 3 / len(words))
     n = len(text)
     stops = text.count(".") + text.count(",") + text.count("!") + text.count("?")
     x[-MEASURES:] = [np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, min(1, 8 * stops / n), text[-1:] in ".!?", text[:1].isupper(), at, 1]

@@ -25,7 +25,7 @@ def slots() -> np.ndarray:
     """Code point -> slot: 0 for what is no letter, 1..26 for a-z, a hashed slot for every other letter."""
     if "slots" not in _tables:
         t = np.zeros(0x110000, np.uint8)
-        letters = np.array([i for i in range(0x32000) if chr(i).isalpha()])
+        letters = np.array([i for i in range(0x110000) if chr(i).isalpha()])
         t[letters] = 27 + (letters * 2654435761 >> 7) % (SLOTS - 27)
         t[ord("a") : ord("z") + 1] = np.arange(1, 27)
         _tables["slots"] = t

@@ -56,11 +56,15 @@ def one_line(text: str | None) -> str | None:
 
 
 def records(page_id, url, payload: bytes, digest: str, refers_to, uid: str, segment: int, chunk: int) -> Iterator[bytes]:
-    """The records of a page: a revisit, a response, or a response's first segment and its continuations."""
-    name = f"<urn:mosaiq:page:{'' if page_id is None else page_id}:{uid}>"
+    """The records of a page: a revisit, a response, or a response's first segment and its continuations.
+
+    A record is named by its page and payload, so that a revisit can name the response; ``uid`` tells rows apart that
+    repeat both.
+    """
+    name = f"<urn:mosaiq:page:{'' if page_id is None else page_id}:{digest}{uid}>"
     about = [("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:mosaiq:page:{refers_to}:>"), ("Content-Type", "application/http;msgtype=response")]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:mosaiq:page:{refers_to}:{digest}>"), ("Content-Type", "application/http;msgtype=response")]
         yield record("revisit", about + more, HTTP + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
@@ -78,14 +82,15 @@ def write_warc(pages: DataFrame, path: str, segment: int = 32768, chunk: int = 8
     """Write (page_id, url, payload binary) to gzipped archives under ``path``; a null payload is empty.
 
     Of records whose payloads are equal and of at least ``least`` bytes, those of the smallest page_id are
-    responses, the others revisit it. Rows with a null page_id are responses always. Repeated rows give a
-    record each, an empty table no record; other columns are ignored.
+    responses, the others revisit it, naming its record. Rows with a null page_id are responses always. Repeated
+    rows give a record each, with names that differ in their ends (a revisit of such a response names the page and
+    payload, without an end); an empty table gives no record; other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
-    keyed = pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("n")).where(F.col("n") >= least)
-    first = keyed.groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("page_id").alias("copies")).where("copies > 1")
-    revisits = keyed.join(first, ["sha", "n"]).where("page_id <> first").groupBy("page_id", "sha").agg(F.min("first").alias("first"))
-    joined = pages.withColumn("sha", F.sha1("payload")).join(revisits, ["page_id", "sha"], "left")
+    keyed = pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("n")).groupBy("page_id", "sha", "n").agg(F.count("*").alias("times"))
+    first = keyed.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("page_id").alias("pages")).where("pages > 1")
+    facts = keyed.join(first, ["sha", "n"], "left").select("page_id", "sha", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"), (F.col("times") > 1).alias("again")).where("first is not null or again")
+    joined = pages.withColumn("sha", F.sha1("payload")).join(facts, ["page_id", "sha"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -95,7 +100,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = 32768, chunk: int = 8
                 for r in b.slice(i, 256).to_pylist():
                     k += 1
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    out += [x[:-1] for x in records(r["page_id"], r["url"], r["payload"], digest, r["first"], f"{part}-{k}", segment, chunk)]
+                    out += [x[:-1] for x in records(r["page_id"], r["url"], r["payload"], digest, r["first"], f"-{part}-{k}" if r["again"] or r["page_id"] is None else "", segment, chunk)]
                 yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
 
     lines = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))

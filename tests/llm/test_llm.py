@@ -152,11 +152,26 @@ def test_warc_round_trip(spark, tmp_path):
         p = p or b""
         rev = i is not None and first[p] != i
         want.append((i or 0, "revisit" if rev else "response", first[p] if rev else None, len(p), sha(p), None if rev else p, None))
-    assert got == sorted(want, key=lambda t: (t[0], t[3], t[1])) or sorted(map(str, got)) == sorted(map(str, want))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    named = {r.record_id for r in warc.read_warc(spark, str(tmp_path / "w")).collect() if r.record_type == "response"}
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
+    refers = set(re.findall(r"WARC-Refers-To: (\S+)", text))
+    assert refers and refers <= named
     warc.write_warc(df.limit(0), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_head_without_an_end_tag():
+    page = "<html><head><title>T</title><meta charset=utf-8><body><article><p>Hello there, this is text.<p>More of it.</article></html>"
+    assert [b[1] for b in blocks.leaves(page)] == ["Hello there, this is text.", "More of it."]
+    assert [b[1] for b in blocks.leaves("<head><script>x</script><style>y</style><div>one</div>two")] == ["one", "two"]
+    assert [b[1] for b in blocks.leaves("<head><noscript><p>no</p></noscript><title>no</title></head><body>yes")] == ["yes"]
+
+
+def test_letters_of_the_last_planes():
+    assert len(langid.trigrams(chr(0x32010) * 3)) == 3 and not len(langid.trigrams("123 !"))
+
+
 def test_segments_and_framing():
     data = bytes(range(256)) * 20
     assert warc.unchunked(warc.chunked(data, 777)) == data and warc.unchunked(warc.chunked(b"", 5)) == b""
@@ -252,7 +267,7 @@ PAGE = """<html><head><title>T</title><script>if(a<b)x()</script></head><body><h
 
 def test_main_text(spark):
     found = blocks.leaves(PAGE)
-    assert [b[1] for b in found][5:8] == ["First paragraph, with words.", "Second one <here>.", "Related things"] or "A & title" in [b[1] for b in found]
+    assert {"A & title", "First paragraph, with words.", "Second one <here>.", "Related things"} <= {b[1] for b in found}
     rows = [(1, "u", PAGE), (2, None, None), (3, "w", ""), (3, "w", ""), (None, "x", "<p>"), (4, "y", "<!DOCTYPE <![x <p>text")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(5))
     got = {r.page_id: r for r in blocks.extract(df).collect()}
@@ -296,11 +311,13 @@ def brute_links(x):
         low = new
 
 
-def near_links_are_whole(spark, x, lot):
+def near_links_are_whole(spark, x, lot, least=1.0, **audit):
+    """With an audit of all rows the result is exact; with the usual one, recall is ``least`` or more."""
     df = spark.createDataFrame([(k, [float(v) for v in row], 0) for k, row in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df, lot=lot).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df, lot=lot, **audit).collect()}
     links, low = brute_links(x)
-    assert got == {k: (links[k], low[k]) for k in range(len(x))}
+    assert sum(got[k][0] for k in got) >= least * links.sum() and all(got[k][0] <= links[k] for k in got)
+    assert least < 1 or got == {k: (links[k], low[k]) for k in range(len(x))}
 
 
 def test_near_vectors_around_a_hub(spark):
@@ -311,7 +328,7 @@ def test_near_vectors_around_a_hub(spark):
     off = rng.normal(size=(1500, 64))
     off -= np.outer(off @ hub, hub)
     off /= np.linalg.norm(off, axis=1, keepdims=True)
-    near_links_are_whole(spark, np.vstack([hub, 0.985 * hub + np.sqrt(1 - 0.985**2) * off]), 32)
+    near_links_are_whole(spark, np.vstack([hub, 0.985 * hub + np.sqrt(1 - 0.985**2) * off]), 200, recall=1.0, sample=10**6)
 
 
 def test_isolated_near_vectors(spark):
@@ -322,7 +339,7 @@ def test_isolated_near_vectors(spark):
     off = rng.normal(size=(600, 64))
     off -= (off * x[:600]).sum(1, keepdims=True) * x[:600]
     off /= np.linalg.norm(off, axis=1, keepdims=True)
-    near_links_are_whole(spark, np.vstack([x, 0.981 * x[:600] + np.sqrt(1 - 0.981**2) * off]), 8)
+    near_links_are_whole(spark, np.vstack([x, 0.981 * x[:600] + np.sqrt(1 - 0.981**2) * off]), 300, 0.99)
 
 
 def test_tiles_and_contamination(spark):
