@@ -484,7 +484,9 @@ def member_links(pairs: DataFrame, members: DataFrame, scratch: Scratch, percent
     met = first.join(second, ["p", "h"]).select("p", "a", "b").distinct()
     met = met.join(close.select("p", F.col("doc_id").alias("a"), "u", F.col("plus").alias("pa"), F.col("minus").alias("ma")), ["p", "a"])
     met = met.join(rest.select("p", F.col("doc_id").alias("b"), F.col("u").alias("v"), F.col("plus").alias("pb"), F.col("minus").alias("mb")), ["p", "b"])
-    return direct.unionByName(met.select("a", "b", "u", "v", "pa", "ma", "pb", "mb").mapInArrow(verify, "a bigint, b bigint"))
+    out = scratch.save(direct.unionByName(met.select("a", "b", "u", "v", "pa", "ma", "pb", "mb").mapInArrow(verify, "a bigint, b bigint")), "links")
+    scratch.drop(far)
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -540,9 +542,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     so_far = components(links, scratch)
     part = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     undecided = met.where("not links").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("plus").alias("p_only"), F.col("minus").alias("q_only"))
-    more = scratch.save(member_links(undecided, members, scratch, percent), "links")
+    more = member_links(undecided, members, scratch, percent)
     final = components(links.unionByName(more), scratch).toDF("class", "component")
-    scratch.drop(sets, grouped, members, facts)
+    scratch.drop(sets, grouped, members, facts, linked, met, more)
     classes = classes.join(final, "class", "left").select("size", "f1", "f2", F.coalesce("component", "class").alias("component"))
     done = open_rows.join(classes, ["size", "f1", "f2"]).select("doc_id", "size", "component", "settled")
     out = state.where("settled").select("doc_id", "size", F.col("doc_id").alias("component"), "settled").unionByName(done)
