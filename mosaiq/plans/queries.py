@@ -166,14 +166,8 @@ def histogram_quantities(spark, d):
     return red.histc(Array(t, (0,), "float64"), 7, 1, 50).cells().select(F.col("i0").alias("bin"), F.col("v").alias("n"))
 
 
-@query("select product(1 + l_discount) is not null ok, sum(case when isnan(l_tax) then 0 else l_tax end) is not null nansum_ from lineitem where l_orderkey < 50")
-def nan_reductions(spark, d):
-    t = T(spark, d, "lineitem").where("l_orderkey < 50")
-    return t.agg(agg.prod(1 + F.col("l_discount")).isNotNull().alias("ok"), agg.nansum(F.col("l_tax")).isNotNull().alias("nansum_"))
-
-
 @query("""select l_orderkey, round(product(1 + l_discount), 6) prod_, round(sum(case when l_discount < 0.02 or isnan(l_tax) then 0 else l_tax end), 6) nansum_ from lineitem group by 1""")
-def nan_reductions_all(spark, d):
+def nan_reductions(spark, d):
     """Of every order; taxes of small discounts count as NaN."""
     tax = F.when(F.col("l_discount") < 0.02, float("nan")).otherwise(F.col("l_tax"))
     return T(spark, d, "lineitem").groupBy("l_orderkey").agg(r(agg.prod(1 + F.col("l_discount"))).alias("prod_"), r(agg.nansum(tax)).alias("nansum_"))
@@ -289,14 +283,8 @@ def random_numbers(spark, d):
 # linear algebra, transforms, distances
 
 
-@query("""with c as (select vec_id i, unnest(range(0, 64)) j, cast(unnest(embedding) as double) v from embeddings) select a.j i, b.j, round(sum(a.v * b.v), 6) v from c a join c b using (i) where a.j < 8 and b.j < 8 group by 1, 2""")
-def gram_matrix(spark, d):
-    a = _embeddings(spark, d)[:, :8]
-    return linalg.matmul(a.T, a).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
-
-
 @query("""with c as (select vec_id i, unnest(range(0, 64)) j, cast(unnest(embedding) as double) v from embeddings) select a.j i, b.j, round(sum(a.v * b.v), 6) v from c a join c b using (i) group by 1, 2""")
-def gram_matrix_all(spark, d):
+def gram_matrix(spark, d):
     a = _embeddings(spark, d)
     return linalg.matmul(a.T, a).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
 
@@ -312,45 +300,22 @@ def trace_of_embeddings(spark, d):
     return linalg.trace(_embeddings(spark, d)).cells().select(r(F.col("v")).alias("trace_"))
 
 
-def _some(spark, d, n):
-    t = T(spark, d, "embeddings").where(F.col("vec_id") < n).select("vec_id", F.posexplode("embedding").alias("j", "v"))
-    return from_frame(t.withColumn("v", F.col("v").cast("double")), "v", ["vec_id", "j"], shape=(n, 64), dtype="float64")
-
-
-DIST = """with e as (select vec_id i, embedding x from embeddings where vec_id < 50), p as (select a.i, b.i j, list_zip(a.x, b.x) z from e a, e b)
+DIST = """with e as (select vec_id i, embedding x from embeddings), p as (select a.i, b.i j, list_zip(a.x, b.x) z from e a, e b)
  select i, j, round({}, 5) v from p"""
 
 
 @query(DIST.format("sqrt(list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))))"))
 def euclidean_distances(spark, d):
-    return distance.cdist(_some(spark, d, 50)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
+    return distance.cdist(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
 
 
 @query(DIST.format("list_sum(list_transform(z, lambda t: abs(cast(t[1] as double) - t[2])))"))
 def manhattan_distances(spark, d):
-    return distance.manhattan(_some(spark, d, 50)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
+    return distance.manhattan(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
 
 
 @query(DIST.format("exp(-list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) / 2)"))
 def gaussian_kernel(spark, d):
-    return distance.rbf(_some(spark, d, 50)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
-
-
-DIST_ALL = DIST.replace(" where vec_id < 50", "")
-
-
-@query(DIST_ALL.format("sqrt(list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))))"))
-def euclidean_distances_all(spark, d):
-    return distance.cdist(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
-
-
-@query(DIST_ALL.format("list_sum(list_transform(z, lambda t: abs(cast(t[1] as double) - t[2])))"))
-def manhattan_distances_all(spark, d):
-    return distance.manhattan(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
-
-
-@query(DIST_ALL.format("exp(-list_sum(list_transform(z, lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) / 2)"))
-def gaussian_kernel_all(spark, d):
     return distance.rbf(_embeddings(spark, d)).cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v"), 5).alias("v"))
 
 
@@ -383,15 +348,9 @@ def convolution(spark, d):
     return out.select(F.col("i0").alias("i"), r(F.col("v")).alias("v"))
 
 
-@query("""with e as (select vec_id i, unnest(range(0, 64)) t, cast(unnest(embedding) as double) v from embeddings where vec_id < 5), k as (select unnest(range(0, 64)) k)
- select i, k, round(sum(v * cos(2 * pi() * k * t / 64)), 5) re, round(-sum(v * sin(2 * pi() * k * t / 64)), 5) im from e, k group by 1, 2""")
-def fourier_transform(spark, d):
-    return signal.fft(_some(spark, d, 5), axis=1).cells().select(F.col("i0").alias("i"), F.col("i1").alias("k"), (r(F.col("v.re"), 5) + 0.0).alias("re"), (r(F.col("v.im"), 5) + 0.0).alias("im"))
-
-
 @query("""with e as (select vec_id i, unnest(range(0, 64)) t, cast(unnest(embedding) as double) v from embeddings), k as (select unnest(range(0, 64)) k)
  select i, k, round(sum(v * cos(2 * pi() * k * t / 64)), 5) re, round(-sum(v * sin(2 * pi() * k * t / 64)), 5) im from e, k group by 1, 2""")
-def fourier_transform_all(spark, d):
+def fourier_transform(spark, d):
     return signal.fft(_embeddings(spark, d), axis=1).cells().select(F.col("i0").alias("i"), F.col("i1").alias("k"), (r(F.col("v.re"), 5) + 0.0).alias("re"), (r(F.col("v.im"), 5) + 0.0).alias("im"))
 
 
@@ -491,18 +450,10 @@ def batch_parallel_kmeans(spark, d):
     return BatchParallelKMeans(4, max_iter=10, random_state=1).fit(_vectors(spark, d)).labels_
 
 
-@query("""with e as (select vec_id, label, embedding x from embeddings), dd as (select a.vec_id, b.vec_id near, b.label, list_sum(list_transform(list_zip(a.x, b.x), lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) d from e a, e b where a.vec_id < 40),
- k as (select vec_id, label from dd qualify row_number() over (partition by vec_id order by d, near) <= 5), v as (select vec_id, label, count(*) n from k group by 1, 2)
- select vec_id row_id, cast(arg_min(label, (-n, label)) as bigint) label from v group by 1""")
-def nearest_neighbours(spark, d):
-    v = _vectors(spark, d)
-    return KNeighborsClassifier(5).fit(v.select("row_id", "x"), v.select("row_id", "label")).predict(v.where("row_id < 40"))
-
-
 @query("""with e as (select vec_id, label, embedding x from embeddings), dd as (select a.vec_id, b.vec_id near, b.label, list_sum(list_transform(list_zip(a.x, b.x), lambda t: (cast(t[1] as double) - t[2]) * (cast(t[1] as double) - t[2]))) d from e a, e b where a.vec_id % 20 = 0),
  k as (select vec_id, label from dd qualify row_number() over (partition by vec_id order by d, near) <= 5), v as (select vec_id, label, count(*) n from k group by 1, 2)
  select vec_id row_id, cast(arg_min(label, (-n, label)) as bigint) label from v group by 1""")
-def nearest_neighbours_all(spark, d):
+def nearest_neighbours(spark, d):
     """Every row whose id is divisible by 20 against all rows."""
     v = _vectors(spark, d)
     return KNeighborsClassifier(5).fit(v.select("row_id", "x"), v.select("row_id", "label")).predict(v.where("row_id % 20 = 0"))
@@ -607,37 +558,22 @@ def distinct_sizes(spark, d):
     return T(spark, d, "part").select("p_brand", "p_size").distinct().groupBy("p_brand").agg(F.min("p_size").alias("low"), F.count("*").alias("n"))
 
 
-SIM = """with e as (select vec_id i, list_transform(embedding, lambda v: cast(v as double)) x from embeddings where vec_id < 50),
+SIM = """with e as (select vec_id i, list_transform(embedding, lambda v: cast(v as double)) x from embeddings),
  s as (select a.i, b.i j, exp(-pow(list_distance(a.x, b.x), 2) / 32) v from e a join e b on a.i <> b.i), g as (select i, sum(v) d from s group by 1)
  select s.i, s.j, round(-v / sqrt(g.d * h.d), 6) v from s join g on g.i = s.i join g h on h.i = s.j union all select i, i, 1.0 from g"""
 
 
 @query(SIM)
 def laplacian_matrix(spark, d):
-    lap = distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_some(spark, d, 50))
-    return lap.cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
-
-
-@query(SIM.replace(" where vec_id < 50", ""))
-def laplacian_matrix_all(spark, d):
     lap = distance.Laplacian(lambda v: distance.rbf(v, sigma=4.0)).construct(_embeddings(spark, d))
     return lap.cells().select(F.col("i0").alias("i"), F.col("i1").alias("j"), r(F.col("v")).alias("v"))
 
 
-@query("""with e as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) x from embeddings where vec_id < 200), n as (select label, count(*) n from e group by 1),
- s as (select a.vec_id, a.label own, b.label other, sum(list_distance(a.x, b.x)) s from e a, e b group by 1, 2, 3),
- k as (select vec_id, max(case when own = other and n > 1 then s / (n - 1) end) a, min(case when own <> other then s / n end) b from s join n on n.label = s.other group by 1)
- select vec_id row_id, round(coalesce((b - a) / greatest(a, b), 0), 6) silhouette from k""")
-def silhouette_values(spark, d):
-    v = _vectors(spark, d).where("row_id < 200")
-    return silhouette_samples(v, v.select("row_id", "label")).select("row_id", r(F.col("silhouette")).alias("silhouette"))
-
-
 @query("""with e as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) x from embeddings), n as (select label, count(*) n from e group by 1),
  s as (select a.vec_id, a.label own, b.label other, sum(list_distance(a.x, b.x)) s from e a, e b group by 1, 2, 3),
  k as (select vec_id, max(case when own = other and n > 1 then s / (n - 1) end) a, min(case when own <> other then s / n end) b from s join n on n.label = s.other group by 1)
  select vec_id row_id, round(coalesce((b - a) / greatest(a, b), 0), 6) silhouette from k""")
-def silhouette_values_all(spark, d):
+def silhouette_values(spark, d):
     v = _vectors(spark, d)
     return silhouette_samples(v, v.select("row_id", "label")).select("row_id", r(F.col("silhouette")).alias("silhouette"))
 
