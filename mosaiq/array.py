@@ -213,7 +213,7 @@ class Array:
     resplit_ = resplit
 
     def balance(self, copy=False) -> Array:
-        return Array(self.cells().repartition(), self.shape, self.dtype, split=self.split)
+        return Array(self.cells().hint("rebalance"), self.shape, self.dtype, split=self.split)
 
     balance_ = balance
 
