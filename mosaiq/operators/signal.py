@@ -1,7 +1,8 @@
 """Convolution and discrete Fourier transforms.
 
-A convolution explodes every cell over the kernel, which is sent as an expression, and sums what meets: partial sums
-are taken before the shuffle and no line has to fit a task. A transform along an axis takes one line a task.
+A convolution along a line cuts the output in blocks, each made by one task from its cells and the few before them, so
+a cell is shuffled at most twice whatever the kernel's length. Planes, and kernels over LONGEST, explode every cell over
+the kernel and sum what meets. No line has to fit a task, except for transforms: these take one line a task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from ..array import Array, array, idx, sanitize_axis
 from ..functions import types as ty
 from .factories import cells_of
 
+#: Cells of a block of the output (or the kernel's length, if that is more), and the longest kernel sent to tasks.
+BLOCK, LONGEST = 1 << 16, 1_000_000
+
 
 def _bounds(n: int, m: int, mode: str) -> tuple[int, int]:
     if mode not in ("full", "same", "valid"):
@@ -40,6 +44,31 @@ def convolve2d(a, v, mode="full", stride=(1, 1)):
     return _conv(a, v, (mode, mode), stride)
 
 
+def _lines(a: Array, w: np.ndarray, mode: str, stride: int, cast: str, dtype: str) -> Array:
+    """Convolution along the last axis by blocks of the output: each takes its cells and the len(w) - 1 before them.
+
+    A cell goes to the one or two blocks that it reaches, and a block's result is whole, so nothing is summed afterwards.
+    """
+    nb, m = a.ndim - 1, len(w)
+    keys, at = idx(nb), F.col(f"i{nb}")
+    start, n = _bounds(a.shape[-1], m, mode)
+    block = max(BLOCK, m)
+    reach = F.sequence(F.call_function("div", at, F.lit(block)), F.call_function("div", at + (m - 1), F.lit(block)))
+    cells = a.cells().select(*keys, at, F.col("v").cast(cast).alias("v"), F.explode(reach).alias("_b"))
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("_b")[0].as_py() * block
+        x = np.zeros(block + m - 1, w.dtype)
+        x[table.column(f"i{nb}").to_numpy() - first + m - 1] = table.column("v").to_numpy()
+        y, p = np.convolve(x, w, "valid"), np.arange(first, first + block) - start
+        keep = (p >= 0) & (p < n) & (p % stride == 0)
+        p, y = p[keep] // stride, y[keep]
+        return pa.table({k: np.full(len(p), table.column(k)[0].as_py(), np.int64) for k in keys} | {f"i{nb}": p.astype(np.int64), "v": y})
+
+    schema = ", ".join([*(f"{k} bigint" for k in keys), f"i{nb} bigint", f"v {cast}"])
+    return Array(cells.groupBy(*keys, "_b").applyInArrow(run, schema), [*a.shape[:-1], max(0, -(-n // stride))], dtype)
+
+
 def _conv(a: Array, v: Array, modes, strides) -> Array:
     d = len(strides)
     if any(s < 1 for s in strides):
@@ -50,8 +79,11 @@ def _conv(a: Array, v: Array, modes, strides) -> Array:
         cast = "double"
     else:
         cast = "bigint"
+    if d == 1 and v.size <= LONGEST:
+        w = v.numpy().astype(np.float64 if cast == "double" else np.int64)
+        return _lines(a, w, modes[0], strides[0], cast, ty.promote_types(a.dtype, v.dtype))
     k = v.cells().select(*[F.col(f"i{j}").alias(f"_k{j}") for j in range(d)], F.col("v").cast(cast).alias("_w"))
-    cells, shape, names = a.cells().withColumn("v", F.col("v").cast(cast)).crossJoin(F.broadcast(k) if v.size <= 1_000_000 else k), list(a.shape), idx(a.ndim)
+    cells, shape, names = a.cells().withColumn("v", F.col("v").cast(cast)).crossJoin(F.broadcast(k) if v.size <= LONGEST else k), list(a.shape), idx(a.ndim)
     for j in range(d):
         ax = a.ndim - d + j
         start, n = _bounds(a.shape[ax], v.shape[j], modes[j])

@@ -262,3 +262,23 @@ def test_pairwise_blocks_equal_numpy(spark):
         out = np.full(want.shape, np.nan)
         out[got["i0"], got["i1"]] = got["v"]
         assert len(got) == want.size and np.allclose(out, want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("mode", ["full", "same", "valid"])
+@pytest.mark.parametrize("block", [4, 7, 1 << 16])
+def test_convolution_in_blocks(spark, monkeypatch, mode, block):
+    """Blocks that are shorter and longer than signal and kernel, batches, strides, integers and kernels sent by expression."""
+    from mosaiq.array import array
+    from mosaiq.operators import signal
+
+    monkeypatch.setattr(signal, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    x, k = rng.normal(size=(3, 40)), rng.normal(size=5)
+    np.testing.assert_allclose(signal.convolve(array(x), array(k), mode).numpy(), [np.convolve(row, k, mode) for row in x], atol=1e-12)
+    if mode != "same":
+        np.testing.assert_allclose(signal.convolve(array(x[0]), array(k), mode, 3).numpy(), np.convolve(x[0], k, mode)[::3], atol=1e-12)
+    n, m = rng.integers(-9, 9, 30), rng.integers(-9, 9, 9)
+    got = signal.convolve(array(n), array(m), mode)
+    assert got.dtype == "int64" and (got.numpy() == np.convolve(n, m, mode)).all()
+    monkeypatch.setattr(signal, "LONGEST", 1)
+    np.testing.assert_allclose(signal.convolve(array(x[0]), array(k), mode).numpy(), np.convolve(x[0], k, mode), atol=1e-12)
