@@ -244,6 +244,39 @@ def test_passages_that_share_a_template(spark):
     assert not lost, lost
 
 
+@pytest.mark.parametrize("period", [1, 2, 3])
+@pytest.mark.parametrize("lots", [1, 14])
+def test_runs_of_repeated_words(spark, period, lots):
+    """Words said over and over: shorter runs in documents between don't hide the run that is repeated."""
+    said = lambda n: " ".join(("ta", "ke", "ro")[k % period] for k in range(n))
+    rows = [(1, f"{made(1, 60)} {said(55)} {made(2, 60)}")] + [(k, f"{made(10 * k, 70)} {said(30 + k)} {made(10 * k + 1, 70)}") for k in range(2, 14)] + [(20, f"{made(3, 60)} {said(80)} {made(4, 60)}")]
+    got = substring.repeated_passages(frame(spark, rows).repartition(lots, "doc_id")).where("doc_id = 20").collect()
+    assert set(range(60, 140)) <= {w for r in got for w in range(r.start, r.end)}
+
+
+def test_every_place_of_a_repeated_passage(spark):
+    """A document that holds a passage of another task's lot three times loses it at all three places."""
+    passage = made(5, 60)
+    rows = [(1, f"{made(1, 80)} {passage} {made(2, 80)}"), (2, " ".join(f"{made(10 + k, 150)} {passage}" for k in range(3)))]
+    got = substring.repeated_passages(frame(spark, rows).repartitionByRange(2, "doc_id")).collect()
+    assert {w for r in got for w in range(r.start, r.end)} >= {210 * k + w for k in range(3) for w in range(150, 210)} and {r.doc_id for r in got} == {2}
+
+
+def test_exact_runs_against_brute_force(spark):
+    """Every run of 50 words that an earlier document also holds lies in passages found, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text")
+    covered, earlier, runs = {}, {}, 0
+    for r in substring.repeated_passages(docs).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    for r in docs.orderBy("doc_id").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
+        for k in range(len(w) - 49):
+            if earlier.setdefault(hash(tuple(w[k : k + 50])), r.doc_id) != r.doc_id:
+                runs += 1
+                assert covered.get(r.doc_id, set()).issuperset(range(k, k + 50)), (r.doc_id, k)
+    assert runs > 20000
+
+
 def test_quality_learns(spark):
     rows = [(k, made(k, 40) if k % 2 else made(k, 40).upper().replace(" ", "!! ")) for k in range(400)]
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
