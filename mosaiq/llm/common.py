@@ -33,9 +33,12 @@ class Scratch:
     """Parquet tables of one operator call, in the shared folder.
 
     ``save`` writes a frame and returns a frame that reads it back, so the lineage before it is cut and
-    survives the loss of executors. Tables that a lazy result still reads stay until the application ends.
+    survives the loss of executors. The shuffle files of the write go as soon as it ends: nothing reads them any more.
+    Tables that a lazy result still reads stay until the application ends.
     """
 
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/mosaiq/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
@@ -45,8 +48,12 @@ class Scratch:
         return f"{self.base}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        path, before = self.path(name), self.spark.conf.get(self.CLEAN)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._mosaiq_path = path
         return out

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -97,6 +98,19 @@ def test_jaccard_of_chains_with_small_lots(spark, monkeypatch, seed):
     assert got == brute_components(rows)
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    """What a scratch table was made from is gone from the disk once the table is written."""
+    held = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(key)
+    out = Scratch(spark, "test").save(spark.range(10000).repartition(5, "id").groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    deadline = time.monotonic() + 10  # the files are deleted in the background
+    while held() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not held() - before
+    assert out.count() == 10 and spark.conf.get(key) == setting
+
+
 def test_jaccard_on_awkward_rows(spark):
     df = frame(spark, AWKWARD).withColumn("n_shingles", F.lit("clash")).withColumn("component", F.lit(1)).withColumn("bucket", F.lit(2))
     rows = setjoin.jaccard_components(df).collect()
