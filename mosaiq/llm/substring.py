@@ -2,13 +2,17 @@
 
 Every text is a sequence of 5-word shingles. For each of a few hash functions, the nodes of the Cartesian tree over
 its hashes whose subtrees span at least ``t`` shingles are compact windows: all subsequences inside such a window
-that hold its node have that node's hash as their min-hash. Windows of equal min-hash are joined: each document
-with the first one of its task's lot and with the one before it. Where one shingle stands in many passages, this alone
-would join unrelated ones; so those that also agree on the shingles around the node, in one of the ``contexts``, are
-joined in the same way among themselves: of two equal ranges of t shingles at least one context is equal. The first
-documents of the lots, of each min-hash and of each of its contexts, are then joined in the same way. Two
-windows match if the subsequences they share, around the node, span t shingles; pairs of places where enough
-functions match are then verified on the shingles themselves.
+that hold its node have that node's hash as their min-hash. Windows of equal min-hash are joined in two passes.
+
+First, windows that agree on all a passage around the node can hold are one class: its later documents are joined with
+its first one. The classes' first documents are joined with the first and the one before of the same min-hash, and of
+those that also agree on the shingles around the node, in one of the ``contexts``. Two windows match if the
+subsequences they share, around the node, span t shingles; pairs of places where enough functions match, or one
+class, are then verified on the shingles themselves.
+
+Then, min-hashes of which some pairs of classes were left out are looked at again (``further_pairs``): a window around which
+something isn't covered by the passages found so far is joined with every earlier one that may share a passage with it. At
+most so many shingles of a passage are missing from the other, so one of any few more must be there: these are looked up.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, shuffle_partitions, text_blocks
-from .words import U, as_bytes, mix, powers, segment, shingles
+from .words import U, as_bytes, mix, powers, ranges, segment, shingles
 
 SALT = np.random.default_rng(303).integers(0, 2**64, 64, U)
 PAIR = [("a", pa.int64()), ("b", pa.int64()), ("fn", pa.int32()), ("ca", pa.int32()), ("cb", pa.int32()), ("wl", pa.int32()), ("wr", pa.int32())]
@@ -90,43 +94,81 @@ def context_hashes(g: np.ndarray, at: np.ndarray, c: np.ndarray, left: np.ndarra
     return out
 
 
+def reach(c: np.ndarray, left: np.ndarray, right: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the windows that is at most w shingles away from the node."""
+    return np.maximum(left, c - w), np.minimum(right, c + w)
+
+
+def class_hashes(g: np.ndarray, at: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, w: int) -> np.ndarray:
+    """For nodes at these places of g, 32 bits of the shingles in ``reach`` and of where it ends."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    up, down = powers(len(g))
+    total = np.zeros(len(g) + 1, U)
+    np.cumsum(g * up[: len(g)], out=total[1:])
+    lo, hi = reach(c, left, right, w)
+    x = (total[at + (hi - c) + 1] - total[at - (c - lo)]) * down[at - (c - lo)]
+    return (mix(x + (c - lo).astype(U) * U(0xD6E8FEB86659FD93) + (hi - c).astype(U)) >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def by_class(key, doc, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, first, kept): rows of a class (equal key, contexts and class hash) in other documents with the class's first row; the rows of the classes' first documents.
+
+    Rows must be sorted by key, document and place.
+    """
+    o = np.lexsort((np.arange(len(key)), at[:, -1], key))
+    same = (key[o[1:]] == key[o[:-1]]) & (at[o[1:], 3:] == at[o[:-1], 3:]).all(1)
+    head = np.concatenate([[True], ~same])
+    run = np.flatnonzero(head)[np.cumsum(head) - 1]
+    other = doc[o] != doc[o[run]]
+    return o[other], o[run[other]], np.sort(o[~other])
+
+
+def shared(at, a, b, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows whose shared window spans t, and how far it goes to the left and right of the node."""
+    c, left, right = at[:, 0], at[:, 1], at[:, 2]
+    wl, wr = np.minimum(c[a] - left[a], c[b] - left[b]), np.minimum(right[a] - c[a], right[b] - c[b])
+    wide = wl + wr + 1 >= t
+    return a[wide], b[wide], wl[wide], wr[wide]
+
+
 def star(key, doc, at, t: int):
     """Pairs of rows (later, earlier) with equal key and different documents: with the first of the run and the one before.
 
     The same for runs of equal key and equal context, for each context. Rows must be sorted by key, document and place;
-    ``at`` has node, left, right and the contexts. Pairs whose shared window is under t are left out. Also: how far the
-    shared window goes to the left and right of the node, and the rows of the runs' first documents, with every place
-    that such a document holds the same passage at.
+    ``at`` has node, left, right, the contexts and the class. Pairs whose shared window is under t are left out. Also:
+    how far the shared window goes to the left and right of the node, and the rows of runs with pairs that are not tried.
     """
     head = np.concatenate([[True], key[1:] != key[:-1]])
-    later, earlier, own = _run_pairs(head, doc)
-    firsts, size = [own], np.diff(np.append(np.flatnonzero(head), len(key)))
+    later, earlier = _run_pairs(head, doc)
+    edge = np.flatnonzero(head)
+    size = np.diff(np.append(edge, len(key)))
+    new = np.concatenate([[True], doc[1:] != doc[:-1]]) | head
+    docs = np.add.reduceat(new, edge)
+    # whole: a run of one document, two with one row in the first, three with one row in each of the first two
+    second, third = (np.where(size > k, new[np.minimum(edge + k, len(key) - 1)], True) for k in (1, 2))
+    left_out = np.flatnonzero(np.repeat((docs > 1) & ~((docs == 2) & second) & ~((docs == 3) & second & third), size))
     many = np.flatnonzero(np.repeat(size, size) > 1)
-    for k in range(3, at.shape[1]):
+    for k in range(3, at.shape[1] - 1):
         rows = many[at[many, k] != 0]
         rows = rows[np.lexsort((rows, at[rows, k], key[rows]))]
         if not len(rows):
             continue
         head = np.concatenate([[True], (key[rows[1:]] != key[rows[:-1]]) | (at[rows[1:], k] != at[rows[:-1], k])])
-        p, q, own = _run_pairs(head, doc[rows])
+        p, q = _run_pairs(head, doc[rows])
         later, earlier = np.concatenate([later, rows[p]]), np.concatenate([earlier, rows[q]])
-        firsts.append(rows[own])
     pair = np.unique(later * len(key) + earlier)
-    a, b = pair // len(key), pair % len(key)
-    c, left, right = at[:, 0], at[:, 1], at[:, 2]
-    wl, wr = np.minimum(c[a] - left[a], c[b] - left[b]), np.minimum(right[a] - c[a], right[b] - c[b])
-    wide = wl + wr + 1 >= t
-    return a[wide], b[wide], wl[wide], wr[wide], np.unique(np.concatenate(firsts))
+    return *shared(at, pair // len(key), pair % len(key), t), left_out
 
 
-def _run_pairs(head: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row with the first of its run, and with the last row of the document before, if these are other documents; and the rows of the first document of each run."""
+def _run_pairs(head: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the first of its run, and with the last row of the document before, if these are other documents."""
     run = np.flatnonzero(head)[np.cumsum(head) - 1]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | head[1:]])
     before = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) - 1  # the last row of the document before
     rows = np.flatnonzero(doc != doc[run])
     more = rows[doc[before[rows]] != doc[run[rows]]]
-    return np.concatenate([rows, more]), np.concatenate([run[rows], before[more]]), np.flatnonzero(doc == doc[run])
+    return np.concatenate([rows, more]), np.concatenate([run[rows], before[more]])
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -142,8 +184,11 @@ def unpacked(data: bytes, kind, many: int) -> np.ndarray:
 BLOB = pa.schema([("bucket", pa.int32()), ("fn", pa.int32()), ("key", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), *PAIR[:2], *PAIR[3:]])
 
 
-def joined_windows(docs: DataFrame, n: int, t: int, functions: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs a > b of documents and matching places in them: a, b, fn, ca, cb, wl, wr; and the table of windows that they are read from."""
+SURE = 32  # added to a function's number where a pair needs no second function
+
+
+def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int, buckets: int, scratch: Scratch) -> DataFrame:
+    """Pairs a > b of documents and matching places in them: a, b, fn, ca, cb, wl, wr; and, with b null, the windows (key, fn, a, ca, wl, wr) of runs with pairs that are not tried."""
     order = [f.name for f in BLOB]
 
     def flush(lots) -> Iterator[pa.RecordBatch]:
@@ -153,8 +198,9 @@ def joined_windows(docs: DataFrame, n: int, t: int, functions: int, buckets: int
                 continue
             o = np.lexsort((at[:, 0], doc, key))
             key, doc, at = key[o], doc[o], at[o]
-            a, b, wl, wr, head = star(key, doc, at, t)
-            rows = {x: pa.nulls(len(a), BLOB.field(x).type) for x in order} | {"fn": np.full(len(a), fn, np.int32), "a": doc[a], "b": doc[b], "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr}
+            a, b, head = by_class(key, doc, at)
+            a, b, wl, wr = shared(at, a, b, t)
+            rows = {x: pa.nulls(len(a), BLOB.field(x).type) for x in order} | {"fn": np.full(len(a), fn + SURE, np.int32), "a": doc[a], "b": doc[b], "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr}
             for i in range(0, len(a), 16384):
                 yield batch(BLOB, **{k: v[i : i + 16384] for k, v in rows.items()})
             key, doc, at = key[head], doc[head], at[head]
@@ -177,7 +223,7 @@ def joined_windows(docs: DataFrame, n: int, t: int, functions: int, buckets: int
                 g = mix(h ^ SALT[fn])
                 text, c, left, right = compact_windows(g, first, t)
                 node = first[:-1][text] + c if len(c) else c
-                lots[fn].append((g[node], ids[text], np.column_stack([c, left, right, context_hashes(g, node, c, left, right, t)]).astype(np.int32)))
+                lots[fn].append((g[node], ids[text], np.column_stack([c, left, right, context_hashes(g, node, c, left, right, t), class_hashes(g, node, c, left, right, widest)]).astype(np.int32)))
             held += len(h)
             if held > 2_000_000:
                 yield from flush(lots)
@@ -188,22 +234,176 @@ def joined_windows(docs: DataFrame, n: int, t: int, functions: int, buckets: int
 
     def meet(table: pa.Table) -> pa.Table:
         fn = np.repeat(table.column("fn").to_numpy(), [len(x.as_py()) // 8 for x in table.column("key")])
-        key, doc, at = (np.concatenate([unpacked(x, kind, many) for x in table.column(k).to_pylist()]) for k, kind, many in (("key", U, 1), ("doc", np.int64, 1), ("at", np.int32, 3 + len(contexts(t)))))
+        key, doc, at = (np.concatenate([unpacked(x, kind, many) for x in table.column(k).to_pylist()]) for k, kind, many in (("key", U, 1), ("doc", np.int64, 1), ("at", np.int32, 4 + len(contexts(t)))))
         key, doc = key[:, 0], doc[:, 0]
         o = np.lexsort((at[:, 0], doc, key))
         key, doc, at, fn = key[o], doc[o], at[o], fn[o]
-        a, b, wl, wr, _ = star(key, doc, at, t)
-        return pa.table({"a": doc[a], "b": doc[b], "fn": fn[a], "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr})
+        a, b, kept = by_class(key, doc, at)
+        found = [(*shared(at, a, b, t), SURE)]
+        a, b, wl, wr, rest = star(key[kept], doc[kept], at[kept], t)
+        found.append((kept[a], kept[b], wl, wr, 0))
+        rest = kept[rest]
+        tables = [pa.table({"a": doc[a], "b": doc[b], "fn": fn[a] + np.int32(more), "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr, "key": pa.nulls(len(a), pa.int64())}) for a, b, wl, wr, more in found]
+        c, left, right = at[rest, 0], at[rest, 1], at[rest, 2]
+        none = {x: pa.nulls(len(rest), k) for x, k in (("b", pa.int64()), ("cb", pa.int32()))}
+        return pa.concat_tables([*tables, pa.table({"a": doc[rest], "b": none["b"], "fn": fn[rest], "ca": c, "cb": none["cb"], "wl": c - left, "wr": right - c, "key": key[rest].view(np.int64)})])
 
     ddl = "bucket int, fn int, key binary, doc binary, at binary, a bigint, b bigint, ca int, cb int, wl int, wr int"
     made = scratch.save(docs.mapInArrow(windows, ddl), "windows")
-    near = made.where("bucket is null").select("a", "b", "fn", "ca", "cb", "wl", "wr")
-    far = made.where("bucket is not null").select("bucket", "fn", "key", "doc", "at").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int")
-    return near.unionByName(far), made
+    near = made.where("bucket is null").selectExpr("a", "b", "fn", "ca", "cb", "wl", "wr", "cast(null as bigint) key")
+    far = made.where("bucket is not null").select("bucket", "fn", "key", "doc", "at").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int, key bigint")
+    out = scratch.save(near.unionByName(far), "pairs")
+    scratch.drop(made)
+    return out
+
+
+def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: int, t: int, widest: int, most: int, drift: int) -> DataFrame:
+    """Pairs a > b of windows (key, fn, a, ca, wl, wr) of equal key that may share what ``passages`` don't cover in a: a, b, fn, ca, cb, wl, wr.
+
+    At most ``most`` of the t shingles of a passage of a are not in b's, which is at most ``widest`` shingles long. A passage
+    around a node reaches far enough to its right or to its left. So most of the half on that side are in b's window; and so
+    is one of any most + 1 of them, for which those that stand in the fewest windows are taken. If the node is covered, a
+    passage that adds something holds one of the first most + 1 shingles on a side that aren't.
+    """
+    right, left = t // 2, (t + 1) // 2  # shingles on a side of the node that a passage has, if not those on the other
+    every = min(left, right) <= most  # too few for a choice: every pair is tried
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("wl", pa.int32()), ("wr", pa.int32()), ("data", pa.binary()), ("gone", pa.binary())])
+
+    def content(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_blocks(batches):
+            h, first = shingles(segment(as_bytes(b.column("text"))), n)
+            small = (h >> U(48)).astype(np.uint16)
+            parts, data, gone = [], [], []
+            for i, (doc, rows, spans) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("rows"), b.column("spans").to_pylist(), strict=True)):
+                rows = rows.values
+                key, fn, c, wl, wr = (rows.field(k).to_numpy() for k in ("key", "fn", "ca", "wl", "wr"))
+                base, count = first[i], first[i + 1] - first[i]
+                ok = c + wr < count
+                ok[ok] = mix(h[base + c[ok]] ^ SALT[fn[ok]]).view(np.int64) == key[ok]  # another text of the same id
+                key, c, wl, wr = (x[ok] for x in (key, c, wl, wr))
+                parts.append((key, np.full(len(key), doc), c, wl, wr))
+                own, covered = small[base : base + count], np.zeros(count, bool)
+                for s in spans or []:
+                    covered[s["start"] : max(s["start"], s["end"] - n + 1)] = True
+                for lo, hi in zip((c - np.minimum(wl, widest)).tolist(), (c + np.minimum(wr, widest) + 1).tolist(), strict=True):
+                    data.append(own[lo:hi].tobytes())
+                    gone.append(covered[lo:hi].tobytes())
+            key, doc, c, wl, wr = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = ((key.view(U) >> U(8)) % U(buckets)).astype(np.int32)
+            rows = dict(zip(schema.names, (bucket, key, doc, c, wl, wr, data, gone), strict=True))
+            for i in range(0, len(key), 4096):
+                yield batch(schema, **{k: v[i : i + 4096] for k, v in rows.items()})
+
+    def flat(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+    def digest(x: np.ndarray) -> np.ndarray:
+        parts = np.array_split(x, -(-len(x) // 4096))
+        return np.concatenate([mix(part.astype(U) + (np.arange(x.shape[1]).astype(U) << U(20))).sum(1, dtype=U) for part in parts])
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("doc", "ascending"), ("c", "ascending")])
+        key = table.column("key").to_numpy()
+        edge, parts = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)).tolist(), []
+        start = 0
+        for end in edge:  # whole runs, some thousand windows at a time
+            if end - start >= 4096 or end == len(key):
+                parts.append(pairs_of(table.slice(start, end - start)))
+                start = end
+        return pa.concat_tables(parts)
+
+    def pairs_of(table: pa.Table) -> pa.Table:
+        key, doc, c, wl, wr = (table.column(k).to_numpy() for k in ("key", "doc", "c", "wl", "wr"))
+        many, wide = len(key), 2 * widest + 1
+        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        row, place = np.nonzero((np.arange(-widest, widest + 1) >= -wl[:, None]) & (np.arange(-widest, widest + 1) <= wr[:, None]))
+        row, place = row.astype(np.int32), place.astype(np.int16)
+        held, open_ = np.full((many, wide), -1, np.int32), np.zeros((many, wide), bool)  # the node is in the middle
+        held[row, place] = flat(table.column("data")).view(np.uint16)
+        open_[row, place] = flat(table.column("gone")) == 0
+        entry = run[row] * 65537 + held[row, place]
+        if every:
+            row, entry = np.arange(many), run * 65537 + 65536
+        # of windows with the same shingles, the first is enough to be found, and one in t places of a document to ask: its
+        # pairs are verified t shingles beyond what they share
+        same = mix(digest(held + 1) ^ mix(run.astype(U)))
+        sole, asks = np.zeros(many, bool), np.zeros(many, bool)
+        sole[np.unique(same, return_index=True)[1]] = True
+        asks[np.unique(mix(mix(same + mix(doc.view(U))) ^ digest(open_)) + (c // t).astype(U), return_index=True)[1]] = True
+        marks = np.zeros((many, 1024), bool)  # of the shingles in a window, and perhaps of others
+        marks[row, held[row, place] & 1023] = True
+        row, entry = row[sole[row]], entry[sole[row]]
+        o = np.argsort(entry, kind="stable")
+        listed, values = row[o], entry[o]
+        once = np.concatenate([[True], (listed[1:] != listed[:-1]) | (values[1:] != values[:-1])])  # rows are in order
+        listed, values = listed[once], values[once]
+        asked = []
+        if every:
+            some = np.flatnonzero(asks & (open_ & (np.abs(np.arange(-widest, widest + 1)) < t)).any(1))
+            asked.append((some, run[some] * 65537 + 65536))
+        else:
+            for step, far, side in ((1, right, wr), (-1, left, wl)):
+                some = np.flatnonzero(asks & open_[:, widest] & (side >= far))
+                near = held[some][:, widest + step * np.arange(1, far + 1)] + run[some, None] * 65537
+                times = np.searchsorted(values, near, "right") - np.searchsorted(values, near, "left")
+                least = np.argpartition(times, most, axis=1)[:, : most + 1]
+                asked.append((np.repeat(some, most + 1), np.take_along_axis(near, least, 1).ravel()))
+                some = np.flatnonzero(asks & ~open_[:, widest])
+                at = widest + step * np.arange(1, t)
+                free = open_[some][:, at]
+                x, y = np.nonzero(free & (np.cumsum(free, 1) <= most + 1))
+                asked.append((some[x], run[some[x]] * 65537 + held[some[x], at[y]]))
+        who, what = (np.concatenate(x) for x in zip(*asked, strict=True))
+        o = np.lexsort((what, who))
+        who, what = who[o], what[o]
+        once = np.concatenate([[True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])])[: len(who)]
+        who, what = who[once], what[once]
+        lo, hi = np.searchsorted(values, what, "left"), np.searchsorted(values, what, "right")
+        total = np.cumsum(hi - lo)
+
+        def farthest(pair: np.ndarray) -> np.ndarray:
+            """Of matches that become one place, those that reach farthest."""
+            a, b = pair // many, pair % many
+            left_of, right_of = np.minimum(wl[a], wl[b]), np.minimum(wr[a], wr[b])
+            near = np.column_stack([doc[a], doc[b], (c[a].astype(np.int64) - c[b]) // drift, c[a] // t])
+            o = np.lexsort(near.T)
+            place = np.empty(len(a), np.int64)
+            place[o] = np.cumsum(np.concatenate([[0], (near[o[1:]] != near[o[:-1]]).any(1)]))[: len(a)]
+            first = np.unique(place[o], return_index=True)[1]
+            ends = (c[a] - left_of, c[b] - left_of, -(c[a] + right_of), -(c[b] + right_of))
+            return pair[np.unique(np.concatenate([np.lexsort((x, place))[first] for x in ends]))]
+
+        found, i = [np.empty(0, np.int64)], 0
+        while i < len(who):  # so many at a time
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
+            a = np.repeat(who[i:j], hi[i:j] - lo[i:j])
+            b = listed[ranges(lo[i:j], hi[i:j] - lo[i:j])]
+            ok = (doc[b] < doc[a]) & (np.minimum(wl[a], wl[b]) + np.minimum(wr[a], wr[b]) + 1 >= t)
+            pair = np.unique(a[ok] * many + b[ok])
+            for some in np.array_split(pair, -(-len(pair) // 65536)) if len(pair) and not every else [pair]:
+                a, b = some // many, some % many
+                near = np.zeros(len(some), bool)
+                for step, far, side in ((1, right, wr), (-1, left, wl)) if not every else ():
+                    mine = held[a][:, widest + step * np.arange(1, far + 1)]
+                    near |= (side[a] >= far) & (marks[b[:, None], mine & 1023].sum(1) >= far - most)
+                found.append(some if every else some[near])
+            if sum(map(len, found)) > 1_000_000:
+                found = [farthest(np.unique(np.concatenate(found)))]
+            i = j
+        pair = farthest(np.unique(np.concatenate(found)))
+        a, b = pair // many, pair % many
+        left_of, right_of = np.minimum(wl[a], wl[b]), np.minimum(wr[a], wr[b])
+        return pa.table({"a": doc[a], "b": doc[b], "fn": np.full(len(a), SURE, np.int32), "ca": c[a], "cb": c[b], "wl": left_of, "wr": right_of})
+
+    rows = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("key", "fn", "ca", "wl", "wr")).alias("rows"))
+    spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    each = docs.join(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "rows", "spans").mapInArrow(content, "bucket int, key bigint, doc bigint, c int, wl int, wr int, data binary, gone binary")
+    return each.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int")
 
 
 def aligned(pairs: DataFrame, t: int, enough: int, drift: int) -> DataFrame:
-    """Places where at least ``enough`` functions match: a, a0, a1, b, b0, b1 (ranges of shingles: the shared windows, in a with t to spare)."""
+    """Places where at least ``enough`` functions match, or one that is sure: a, a0, a1, b, b0, b1 (ranges of shingles: the shared windows, in a with t to spare)."""
     schema = pa.schema([(x, pa.int64() if len(x) == 1 else pa.int32()) for x in ("a", "a0", "a1", "b", "b0", "b1")])
 
     def clusters(table: pa.Table) -> pa.RecordBatch:
@@ -218,7 +418,7 @@ def aligned(pairs: DataFrame, t: int, enough: int, drift: int) -> DataFrame:
         bits = np.bitwise_or.reduceat(1 << fn.astype(np.int64), head)
         many = sum((bits >> k) & 1 for k in range(64))
         lows, highs = [np.minimum.reduceat(x - wl, head) for x in (ca, cb)], [np.maximum.reduceat(x + wr, head) + 1 for x in (ca, cb)]
-        ok = many >= enough
+        ok = (many >= enough) | (bits >> SURE != 0)
         return batch(schema, a=a[head][ok], a0=np.maximum(lows[0] - t, 0)[ok], a1=(highs[0] + t)[ok], b=b[head][ok], b0=lows[1][ok], b1=highs[1][ok])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +488,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, percent:
     t = max(1, min_words - n + 1)
     scratch = Scratch(docs.sparkSession, "substring")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    pairs, windows = joined_windows(docs, n, t, functions, 2 * shuffle_partitions(docs.sparkSession), scratch)
-    places = scratch.save(aligned(pairs, t, enough, max(4, t // 4)), "places")
-    scratch.drop(windows)
-    wanted = places.selectExpr("a doc", "a0 lo", "a1 hi").unionByName(places.selectExpr("b doc", "b0 lo", "b1 hi")).distinct()
-    cut = scratch.save(slices(docs, wanted, n), "slices")
-    both = places.join(cut.toDF("a", "a0", "a1", "da"), ["a", "a0", "a1"]).join(cut.toDF("b", "b0", "b1", "db"), ["b", "b0", "b1"])
+    widest, need, drift = t * 100 // percent, -(-2 * percent * t // (100 + percent)), max(4, t // 4)
+    pairs = joined_windows(docs, n, t, widest, functions, 2 * shuffle_partitions(docs.sparkSession), scratch)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64())])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +499,20 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, percent:
                 out += [(a, a0 + i, a0 + j + n - 1, b) for i, j in shared_spans(np.frombuffer(da, "<u4"), np.frombuffer(db, "<u4"), t, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    out = scratch.save(both.select("a", "a0", "b", "da", "db").mapInArrow(verify, "doc_id bigint, start int, end int, source_id bigint").distinct(), "passages")
-    scratch.drop(places, cut)
+    def verified(pairs: DataFrame) -> DataFrame:
+        places = scratch.save(aligned(pairs, t, enough, drift), "places")
+        wanted = places.selectExpr("a doc", "a0 lo", "a1 hi").unionByName(places.selectExpr("b doc", "b0 lo", "b1 hi")).distinct()
+        cut = scratch.save(slices(docs, wanted, n), "slices")
+        both = places.join(cut.toDF("a", "a0", "a1", "da"), ["a", "a0", "a1"]).join(cut.toDF("b", "b0", "b1", "db"), ["b", "b0", "b1"])
+        out = scratch.save(both.select("a", "a0", "b", "da", "db").mapInArrow(verify, "doc_id bigint, start int, end int, source_id bigint").distinct(), "passages")
+        scratch.drop(places, cut)
+        return out
+
+    first = verified(pairs.where("b is not null").drop("key"))
+    more = verified(further_pairs(docs, pairs.where("b is null").drop("b", "cb"), first, n, t, widest, t - need, drift))
+    scratch.drop(pairs)
+    out = scratch.save(first.unionByName(more).distinct(), "all")
+    scratch.drop(first, more)
     return out
 
 

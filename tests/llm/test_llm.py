@@ -268,6 +268,23 @@ def test_runs_of_repeated_words(spark, period, lots):
     assert set(range(60, 140)) <= {w for r in got for w in range(r.start, r.end)}
 
 
+@pytest.mark.parametrize("lots", [1, 9])
+def test_near_copies_behind_a_template(spark, lots):
+    """24 words that all documents hold don't hide the two that hold them in nearly the same passage."""
+    template, rows = made(5000, 24), []
+    for v in range(100):
+        own = made(5100 + v, 30).split()
+        other = own.copy()
+        other[14] = "changed"
+        for k, w in enumerate((own, other)):
+            rows.append((100 * k + v, f"{made(6000 + 2 * v + k, 60)} {' '.join(w[:17])} {template} {' '.join(w[17:])} {made(7000 + 2 * v + k, 60)}"))
+    got = {}
+    for r in substring.repeated_passages(frame(spark, rows).repartition(lots, "doc_id")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.source_id))
+    assert all(100 <= d and b == d - 100 for d in got for _, _, b in got[d])
+    assert sum(any(s <= 64 and e >= 110 for s, e, _ in x) for x in got.values()) >= 97
+
+
 def test_every_place_of_a_repeated_passage(spark):
     """A document that holds a passage of another task's lot three times loses it at all three places."""
     passage = made(5, 60)
