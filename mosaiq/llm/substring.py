@@ -11,8 +11,9 @@ subsequences they share, around the node, span t shingles; pairs of places where
 class, are then verified on the shingles themselves.
 
 Then, min-hashes of which some pairs of classes were left out are looked at again (``further_pairs``): a window around which
-something isn't covered by the passages found so far is joined with every earlier one that may share a passage with it. At
-most so many shingles of a passage are missing from the other, so one of any few more must be there: these are looked up.
+something isn't covered by the passages found so far asks the earlier ones that may share a passage with it, until nothing
+more can be added. At most so many shingles of a passage are missing from the other, so one of any few more must be there:
+these are looked up. Of what they answer, as few are kept as cover all of it.
 """
 
 from __future__ import annotations
@@ -258,22 +259,21 @@ def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int,
 
 
 def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: int, t: int, widest: int, most: int, drift: int) -> DataFrame:
-    """Pairs a > b of windows (key, fn, a, ca, wl, wr) of equal key that may share what ``passages`` don't cover in a: a, b, fn, ca, cb, wl, wr.
+    """Pairs a > b of windows (key, fn, a, ca, wl, wr) of equal key that share what ``passages`` don't cover in a: a, b, fn, ca, cb, wl, wr.
 
-    At most ``most`` of the t shingles of a passage of a are not in b's, which is at most ``widest`` shingles long. A passage
-    around a node reaches far enough to its right or to its left. So most of the half on that side are in b's window; and so
-    is one of any most + 1 of them, for which those that stand in the fewest windows are taken. If the node is covered, a
-    passage that adds something holds one of the first most + 1 shingles on a side that aren't.
+    At most ``most`` of the t shingles of a passage of a are not in b's, which is at most ``widest`` shingles long. So one of
+    any most + 1 of them is in b's window; of every range of t around the node, those that stand in the fewest earlier
+    windows are asked for. The answers are checked here, some at a time, with the same hashes as in the end: a pair is
+    returned only if it covers something that those before it don't, so pairs grow with the windows, not with their square.
     """
-    right, left = t // 2, (t + 1) // 2  # shingles on a side of the node that a passage has, if not those on the other
-    every = min(left, right) <= most  # too few for a choice: every pair is tried
+    need = t - most
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("wl", pa.int32()), ("wr", pa.int32()), ("data", pa.binary()), ("gone", pa.binary())])
 
     def content(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
             h, first = shingles(segment(as_bytes(b.column("text"))), n)
-            small = (h >> U(48)).astype(np.uint16)
+            small = (h >> U(32)).astype("<u4")
             parts, data, gone = [], [], []
             for i, (doc, rows, spans) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("rows"), b.column("spans").to_pylist(), strict=True)):
                 rows = rows.values
@@ -300,7 +300,7 @@ def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: i
 
     def digest(x: np.ndarray) -> np.ndarray:
         parts = np.array_split(x, -(-len(x) // 4096))
-        return np.concatenate([mix(part.astype(U) + (np.arange(x.shape[1]).astype(U) << U(20))).sum(1, dtype=U) for part in parts])
+        return np.concatenate([mix(part.astype(U) + (np.arange(x.shape[1]).astype(U) << U(40))).sum(1, dtype=U) for part in parts])
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("doc", "ascending"), ("c", "ascending")])
@@ -315,86 +315,145 @@ def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: i
 
     def pairs_of(table: pa.Table) -> pa.Table:
         key, doc, c, wl, wr = (table.column(k).to_numpy() for k in ("key", "doc", "c", "wl", "wr"))
-        many, wide = len(key), 2 * widest + 1
-        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        row, place = np.nonzero((np.arange(-widest, widest + 1) >= -wl[:, None]) & (np.arange(-widest, widest + 1) <= wr[:, None]))
-        row, place = row.astype(np.int32), place.astype(np.int16)
-        held, open_ = np.full((many, wide), -1, np.int32), np.zeros((many, wide), bool)  # the node is in the middle
-        held[row, place] = flat(table.column("data")).view(np.uint16)
-        open_[row, place] = flat(table.column("gone")) == 0
-        entry = run[row] * 65537 + held[row, place]
-        if every:
-            row, entry = np.arange(many), run * 65537 + 65536
+        many, place = len(key), np.arange(-widest, widest + 1)
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        run = np.cumsum(head) - 1
+        new_doc = head | np.concatenate([[True], doc[1:] != doc[:-1]])
+        before = np.flatnonzero(new_doc)[np.cumsum(new_doc) - 1]  # rows of a run that come before this one have earlier documents
+        inside = (place >= -wl[:, None]) & (place <= wr[:, None])  # the node is in the middle
+        held, open_ = np.zeros(inside.shape, np.uint32), np.zeros(inside.shape, bool)
+        held[inside], open_[inside] = flat(table.column("data")).view("<u4"), flat(table.column("gone")) == 0
         # of windows with the same shingles, the first is enough to be found, and one in t places of a document to ask: its
         # pairs are verified t shingles beyond what they share
-        same = mix(digest(held + 1) ^ mix(run.astype(U)))
+        same = mix(digest(held) ^ mix(run.astype(U))) + mix(np.minimum(wl, widest).astype(U) << U(32) | np.minimum(wr, widest).astype(U))
         sole, asks = np.zeros(many, bool), np.zeros(many, bool)
         sole[np.unique(same, return_index=True)[1]] = True
         asks[np.unique(mix(mix(same + mix(doc.view(U))) ^ digest(open_)) + (c // t).astype(U), return_index=True)[1]] = True
-        marks = np.zeros((many, 1024), bool)  # of the shingles in a window, and perhaps of others
-        marks[row, held[row, place] & 1023] = True
-        row, entry = row[sole[row]], entry[sole[row]]
+        asks &= before > np.flatnonzero(head)[run]
+        sole = np.flatnonzero(sole)
+        row = np.repeat(sole, inside[sole].sum(1))
+        entry = (run[row] << 32) | held[sole][inside[sole]]
         o = np.argsort(entry, kind="stable")
-        listed, values = row[o], entry[o]
-        once = np.concatenate([[True], (listed[1:] != listed[:-1]) | (values[1:] != values[:-1])])  # rows are in order
-        listed, values = listed[once], values[once]
-        asked = []
-        if every:
-            some = np.flatnonzero(asks & (open_ & (np.abs(np.arange(-widest, widest + 1)) < t)).any(1))
-            asked.append((some, run[some] * 65537 + 65536))
-        else:
-            for step, far, side in ((1, right, wr), (-1, left, wl)):
-                some = np.flatnonzero(asks & open_[:, widest] & (side >= far))
-                near = held[some][:, widest + step * np.arange(1, far + 1)] + run[some, None] * 65537
-                times = np.searchsorted(values, near, "right") - np.searchsorted(values, near, "left")
-                least = np.argpartition(times, most, axis=1)[:, : most + 1]
-                asked.append((np.repeat(some, most + 1), np.take_along_axis(near, least, 1).ravel()))
-                some = np.flatnonzero(asks & ~open_[:, widest])
-                at = widest + step * np.arange(1, t)
-                free = open_[some][:, at]
-                x, y = np.nonzero(free & (np.cumsum(free, 1) <= most + 1))
-                asked.append((some[x], run[some[x]] * 65537 + held[some[x], at[y]]))
-        who, what = (np.concatenate(x) for x in zip(*asked, strict=True))
-        o = np.lexsort((what, who))
-        who, what = who[o], what[o]
-        once = np.concatenate([[True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])])[: len(who)]
-        who, what = who[once], what[once]
-        lo, hi = np.searchsorted(values, what, "left"), np.searchsorted(values, what, "right")
-        total = np.cumsum(hi - lo)
-
-        def farthest(pair: np.ndarray) -> np.ndarray:
-            """Of matches that become one place, those that reach farthest."""
-            a, b = pair // many, pair % many
-            left_of, right_of = np.minimum(wl[a], wl[b]), np.minimum(wr[a], wr[b])
-            near = np.column_stack([doc[a], doc[b], (c[a].astype(np.int64) - c[b]) // drift, c[a] // t])
-            o = np.lexsort(near.T)
-            place = np.empty(len(a), np.int64)
-            place[o] = np.cumsum(np.concatenate([[0], (near[o[1:]] != near[o[:-1]]).any(1)]))[: len(a)]
-            first = np.unique(place[o], return_index=True)[1]
-            ends = (c[a] - left_of, c[b] - left_of, -(c[a] + right_of), -(c[b] + right_of))
-            return pair[np.unique(np.concatenate([np.lexsort((x, place))[first] for x in ends]))]
-
-        found, i = [np.empty(0, np.int64)], 0
-        while i < len(who):  # so many at a time
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
-            a = np.repeat(who[i:j], hi[i:j] - lo[i:j])
-            b = listed[ranges(lo[i:j], hi[i:j] - lo[i:j])]
-            ok = (doc[b] < doc[a]) & (np.minimum(wl[a], wl[b]) + np.minimum(wr[a], wr[b]) + 1 >= t)
-            pair = np.unique(a[ok] * many + b[ok])
-            for some in np.array_split(pair, -(-len(pair) // 65536)) if len(pair) and not every else [pair]:
-                a, b = some // many, some % many
-                near = np.zeros(len(some), bool)
-                for step, far, side in ((1, right, wr), (-1, left, wl)) if not every else ():
-                    mine = held[a][:, widest + step * np.arange(1, far + 1)]
-                    near |= (side[a] >= far) & (marks[b[:, None], mine & 1023].sum(1) >= far - most)
-                found.append(some if every else some[near])
-            if sum(map(len, found)) > 1_000_000:
-                found = [farthest(np.unique(np.concatenate(found)))]
-            i = j
-        pair = farthest(np.unique(np.concatenate(found)))
-        a, b = pair // many, pair % many
-        left_of, right_of = np.minimum(wl[a], wl[b]), np.minimum(wr[a], wr[b])
-        return pa.table({"a": doc[a], "b": doc[b], "fn": np.full(len(a), SURE, np.int32), "ca": c[a], "cb": c[b], "wl": left_of, "wr": right_of})
+        row, entry = row[o], entry[o]
+        once = np.concatenate([[True], (row[1:] != row[:-1]) | (entry[1:] != entry[:-1])])  # rows are in order
+        row, entry = row[once], entry[once]
+        first = np.concatenate([[True], entry[1:] != entry[:-1]])
+        code = (np.cumsum(first) - 1) * many + row
+        first = np.flatnonzero(first)
+        entries = entry[first]
+        ordered = np.sort(np.where(inside[sole], held[sole], held[sole, widest][:, None]), axis=1)  # the node's stands for those outside
+        marks = np.zeros((len(sole), 1024), bool)  # of the shingles in a window, and perhaps of others
+        marks[np.repeat(np.arange(len(sole)), inside[sole].sum(1)), held[sole][inside[sole]] & 1023] = True
+
+        def lists(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the windows of earlier documents with this shingle begin and end in ``row``."""
+            k = np.minimum(np.searchsorted(entries, (run[who] << 32) | what), len(entries) - 1)
+            return first[k], np.searchsorted(code, k * many + before[who])
+
+        def covered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The places of a that lie in passages which b's window holds, as ``shared_spans`` finds them."""
+            x, y = held[a], ordered[np.searchsorted(sole, b)]
+            at = np.zeros(x.shape, np.intp)
+            for step in (1 << k for k in range(x.shape[1].bit_length() - 1, -1, -1)):
+                to = np.minimum(at + step, x.shape[1] - 1)
+                at = np.where(np.take_along_axis(y, to, 1) <= x, to, at)
+            in_b = (np.take_along_axis(y, at, 1) == x) & inside[a]
+            low, high = reaches(a, b)
+            in_b &= (place >= -(low + t)[:, None]) & (place <= (high + t)[:, None])  # what will be verified
+            total = np.zeros((len(a), x.shape[1] + 1), np.int32)
+            np.cumsum(in_b, axis=1, out=total[:, 1:])
+            good = np.zeros((len(a), x.shape[1] + t), np.int32)
+            np.cumsum(total[:, t:] - total[:, :-t] >= need, axis=1, out=good[:, t : x.shape[1] + 1])
+            good[:, x.shape[1] + 1 :] = good[:, x.shape[1]][:, None]
+            wide = good[:, t:] > good[:, :-t]
+            index = np.arange(x.shape[1], dtype=np.int32)
+            outer = np.maximum.accumulate(np.where(wide, np.int32(-1), index), axis=1)  # the last place outside, the last one in b
+            wide &= np.maximum.accumulate(np.where(in_b, index, np.int32(-1)), axis=1) > outer
+            outer = np.minimum.accumulate(np.where(wide, np.int32(len(index)), index)[:, ::-1], axis=1)[:, ::-1]
+            return wide & (np.minimum.accumulate(np.where(in_b, index, np.int32(len(index)))[:, ::-1], axis=1)[:, ::-1] < outer)
+
+        def reaches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.minimum(wl[b], np.maximum(wl[a], widest)), np.minimum(wr[b], np.maximum(wr[a], widest))
+
+        def may_hold(a: np.ndarray, b: np.ndarray, free: np.ndarray) -> np.ndarray:
+            """Whether b may hold a passage of a with open places: ``covered`` at less cost, and never false where that adds something."""
+            in_b = marks[np.searchsorted(sole, b)[:, None], held[a] & 1023] & inside[a]
+            total = np.zeros((len(a), len(place) + 1), np.int32)
+            np.cumsum(in_b, axis=1, out=total[:, 1:])
+            opens = np.zeros((len(a), len(place) + 1), np.int32)
+            np.cumsum(free, axis=1, out=opens[:, 1:])
+            return ((total[:, t:] - total[:, :-t] >= need) & (opens[:, t:] > opens[:, :-t])).any(1)
+
+        def questions(some: np.ndarray, who: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, ...]:
+            """(index, begin, end) of lists: every window that adds something in a range of t around the node is in one of its window's.
+
+            Of a range, most + 1 shingles at least are in no list to leave out: those in the fewest windows, or, if the node is
+            covered, the nearest open one and those beyond it, as what is found ends with a shingle that both have.
+            """
+            near, sums = slice(widest - t + 1, widest + t), lambda v: np.lib.stride_tricks.sliding_window_view(v, t, axis=1)
+            lo, hi = (k.reshape(len(who), 2 * t - 1) for k in lists(np.repeat(who, 2 * t - 1), held[who, near].ravel()))
+            times = np.where(inside[who, near], hi - lo, 0)
+            free, at = free[:, near], np.arange(2 * t - 1)
+            is_open = free[:, t - 1]
+            left, right = t - 1 - free[:, t - 1 :: -1].argmax(1), t - 1 + free[:, t - 1 :].argmax(1)
+            left[~free[:, :t].any(1)], right[~free[:, t - 1 :].any(1)] = -1, 3 * t
+            beyond = ((at <= left[:, None]) & (at >= left[:, None] - most)) | ((at >= right[:, None]) & (at <= right[:, None] + most)) | is_open[:, None]
+            ok = sums(inside[who, near]).all(2) & sums(free).any(2) & (sums(beyond & (times > 0))).any(2)
+            ok &= t - (sums(times > 0)).sum(2) <= most
+            x, y = np.nonzero(ok)
+            few = np.argpartition(sums(times)[x, y], most, axis=1)[:, : most + 1]
+            rare, edge = np.zeros(times.shape, bool), np.zeros((len(who), 2 * t), np.int64)
+            rare[np.repeat(x, most + 1), (few + y[:, None]).ravel()] = True
+            np.add.at(edge, (x, y), 1)
+            np.add.at(edge, (x, y + t), -1)
+            beyond &= np.cumsum(edge, axis=1)[:, :-1] > 0
+            taken = np.where((~is_open & ((times * beyond).sum(1) < (times * rare).sum(1)))[:, None], beyond, rare) & (times > 0)
+            x, y = np.nonzero(taken)
+            return some[x], lo[x, y], hi[x, y]
+
+        def answers(who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """For these windows, earlier ones that together cover what any earlier one covers."""
+            free = open_[who]
+            x, lo, hi = questions(np.arange(len(who)), who, free)
+            size = np.full(len(x), 4)
+            while len(x):
+                some = np.arange(len(x))
+                some = some[: max(1, int(np.searchsorted(np.cumsum(np.minimum(size, hi - lo)), 65536, "right")))]
+                end = np.minimum(lo[some] + size[some], hi[some])
+                pair = np.unique(np.repeat(x[some], end - lo[some]) * many + row[ranges(lo[some], end - lo[some])])
+                lo[some], size[some] = end, np.minimum(size[some] * 4, 65536)
+                changed = np.zeros(len(who), bool)
+                found = [(np.empty(0, np.int64), np.empty((0, len(place)), bool))]
+                for lot in np.array_split(pair, -(-len(pair) // 4096)) if len(pair) else ():
+                    lot = lot[may_hold(who[lot // many], lot % many, free[lot // many])]
+                    cover = covered(who[lot // many], lot % many)
+                    adds = (cover & free[lot // many]).any(1)
+                    found.append((lot[adds], cover[adds]))
+                pair, cover = (np.concatenate(k) for k in zip(*found, strict=True))
+                while len(pair):  # of each window's, that which covers most, the earliest of these
+                    w = pair // many
+                    gain = (cover & free[w]).sum(1)
+                    keep = gain > 0
+                    pair, cover, w, gain = pair[keep], cover[keep], w[keep], gain[keep]
+                    o = np.lexsort((pair, -gain, w))
+                    best = o[np.concatenate([[True], w[o[1:]] != w[o[:-1]]])] if len(o) else o
+                    free[w[best]] &= ~cover[best]
+                    changed[w[best]] = True
+                    yield who[w[best]], pair[best] % many
+                # once the node is covered, only what adds something is of interest
+                changed &= ~free[:, widest]
+                keep = (lo < hi) & ~changed[x]
+                again = np.flatnonzero(changed)
+                more, low, high = questions(again, who[again], free[again])
+                x, lo, hi, size = (np.concatenate([k[keep], v]) for k, v in ((x, more), (lo, low), (hi, high), (size, np.full(len(more), 4))))
+
+        some = np.flatnonzero(asks & (open_[:, widest - t + 1 : widest + t]).any(1))
+        found = [(some[:0], some[:0])]
+        for i in range(0, len(some), 1024):
+            found += answers(some[i : i + 1024])
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        low, high = reaches(a, b)
+        return pa.table({"a": doc[a], "b": doc[b], "fn": np.full(len(a), SURE, np.int32), "ca": c[a], "cb": c[b], "wl": low.astype(np.int32), "wr": high.astype(np.int32)})
 
     rows = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("key", "fn", "ca", "wl", "wr")).alias("rows"))
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -483,7 +542,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, n: int = 5, percent:
     A passage has ``min_words`` words at least, and so have the windows: 100 * (shared n-word shingles) >=
     percent * (all of both). The first document of equal passages isn't returned as doc_id. Texts that are null
     or shorter than min_words have none; rows with null ids are left out; of rows with equal ids each text is
-    taken. Nothing is found in an empty table; other columns are ignored.
+    taken. Nothing is found in an empty table; other columns are ignored. Not every earlier document that holds a
+    passage is named as its source: those that are named cover what the others would.
     """
     t = max(1, min_words - n + 1)
     scratch = Scratch(docs.sparkSession, "substring")

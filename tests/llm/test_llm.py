@@ -285,6 +285,24 @@ def test_near_copies_behind_a_template(spark, lots):
     assert sum(any(s <= 64 and e >= 110 for s, e, _ in x) for x in got.values()) >= 97
 
 
+@pytest.mark.parametrize("changes", [1, 4])
+def test_many_near_copies_in_few_rows(spark, changes):
+    """Each of many near copies is covered as by all earlier ones together, without a row for each pair of them."""
+    rng, base, rows = np.random.default_rng(changes), made(8000, 120).split(), []
+    for v in range(150):
+        own = base.copy()
+        for k in rng.choice(120, changes, replace=False):
+            own[k] = f"x{v}y{k}"
+        rows.append((v, f"{made(8100 + v, 40)} {' '.join(own)} {made(8300 + v, 40)}"))
+    rows.append((1000, " ".join(made(8600 + k, 30) + " " + " ".join(base[50:58]) for k in range(5))))
+    hashes = [words.shingles(words.segment([text.encode()]))[0] for _, text in rows]
+    want = {(a, w) for a in range(150) for b in range(a) for lo, hi in substring.shared_spans(hashes[a], hashes[b], 46, 80) for w in range(lo, hi + 4)}
+    found = substring.repeated_passages(frame(spark, rows).repartition(9, "doc_id")).collect()
+    got = {(r.doc_id, w) for r in found for w in range(r.start, r.end)}
+    assert got <= want and len(want & got) >= 0.98 * len(want)
+    assert len(found) <= 8 * len(rows)
+
+
 def test_every_place_of_a_repeated_passage(spark):
     """A document that holds a passage of another task's lot three times loses it at all three places."""
     passage = made(5, 60)
