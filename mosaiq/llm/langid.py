@@ -82,6 +82,11 @@ def space(dims: int, seed: int) -> Space:
     return _tables[key]
 
 
+def forget(dims: int, seed: int) -> None:
+    """Let a space go at the end of a task: Python workers are used again, by other operators too."""
+    _tables.pop(f"{dims} {seed}", None)
+
+
 def fit_languages(docs: DataFrame, dims: int = 1024, seed: int = 8) -> dict[str, np.ndarray]:
     """Prototypes of the languages of ``docs`` (text, lang): unit vectors, one for each lang, on the driver.
 
@@ -103,6 +108,7 @@ def fit_languages(docs: DataFrame, dims: int = 1024, seed: int = 8) -> dict[str,
             at = np.flatnonzero(n)
             v = space(dims, seed).bundle(at, n[at])
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dims, "at": pa.array(range(dims), pa.int32()), "v": v})
+        forget(dims, seed)
 
     rows = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(run, "lang string, at int, v double")
     sums = rows.groupBy("lang", "at").agg(F.sum("v").alias("v")).collect()
@@ -139,6 +145,7 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], dims:
                 lang.append(names[k := int(cos.argmax())])
                 score.append(min(1.0, max(0.0, float(cos[k]))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*passed, "lang_pred", "score"])
+        forget(dims, seed)
 
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,20 @@ def test_near_copies_behind_a_template(spark, lots):
     assert sum(any(s <= 64 and e >= 110 for s, e, _ in x) for x in got.values()) >= 97
 
 
+def test_language_tables_go_with_their_task(spark):
+    """Workers that are used again by later stages don't hold the vectors of trigrams any more."""
+    docs = frame(spark, [(k, made(k, 40)) for k in range(8)]).withColumn("lang", F.lit("x"))
+    assert langid.predict_languages(docs, langid.fit_languages(docs)).count() == 8
+
+    def left(batches):
+        from mosaiq.llm import langid as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(isinstance(x, own.Space) for x in own._tables.values())] * b.num_rows, pa.int64())})
+
+    assert spark.range(64, numPartitions=8).mapInArrow(left, "n bigint").agg(F.sum("n")).first()[0] == 0
+
+
 @pytest.mark.parametrize("changes", [1, 4])
 def test_many_near_copies_in_few_rows(spark, changes):
     """Each of many near copies is covered as by all earlier ones together, without a row for each pair of them."""
