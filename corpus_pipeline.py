@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import langid, packing, setjoin, substring, tiling
-from mosaiq.llm.common import Scratch
+from mosaiq.llm.common import Scratch, without_ids
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 or more, the one of the smallest id stays."""
     groups = setjoin.jaccard_components(docs.select("doc_id", "text"), 5, 80)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, Scratch(spark, "near_duplicates").save(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone"))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's words in tiles, or more, go."""
     found = tiling.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, Scratch(spark, "decontaminated").save(found.select("doc_id").distinct(), "gone"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

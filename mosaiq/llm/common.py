@@ -10,7 +10,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -74,6 +75,45 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places for the values of the first column: set bits are gathered in words of 32."""
+    c = F.shiftrightunsigned(F.col(values.columns[0]), 7).bitwiseAND(F.lit(2**bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(31)).cast("int"))
+    words = values.select(F.shiftright(c, 5).alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(2 ** (bits - 5), "<u4")
+    for r in words.collect():  # 2**(bits - 5) rows at most
+        out[r.w] = r.bits
+    return out.view(np.uint8)
+
+
+def in_bitmap(x: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+    at = (x.view(np.uint64) >> np.uint64(7)) & np.uint64(2**bits - 1)
+    return ((held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+ID_BITS = 24
+
+
+def may_be_in(ids: DataFrame, column: str = "doc_id") -> Column:
+    """Whether a row's id may be among the ids (the first column): false only where it isn't.
+
+    A bitmap of fixed size is sent, so that rows with other ids need not be shuffled to meet the ids in a join.
+    """
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("bigint"))), ID_BITS))
+
+    @F.arrow_udf("boolean")
+    def held(x: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(x.to_numpy(zero_copy_only=False), sent.value, ID_BITS))
+
+    return held(F.xxhash64(F.col(column).cast("bigint")))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the ids (a column doc_id); a null id stays."""
+    held = may_be_in(ids)
+    return docs.where(~held).unionByName(docs.where(held).join(ids, "doc_id", "left_anti").select(*docs.columns))
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices whose texts hold about ``most`` bytes (one row at least)."""
     for batch in batches:

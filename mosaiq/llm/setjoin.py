@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, shuffle_partitions, text_blocks
+from .common import Scratch, batch, bitmap, in_bitmap, shuffle_partitions, text_blocks
 from .graph import components
 from .words import U, as_bytes, mix, segment, shingles
 
@@ -142,30 +142,16 @@ def prefix(h: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     return light[:k] if len(light) >= k else np.concatenate([light, h[late][: k - len(light)]])
 
 
-def bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places for the values of the first column: set bits are gathered in words of 32."""
-    c = F.shiftrightunsigned(F.col(values.columns[0]), 7).bitwiseAND(F.lit(2**bits - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(31)).cast("int"))
-    words = values.select(F.shiftright(c, 5).alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(2 ** (bits - 5), "<u4")
-    for r in words.collect():  # 2**(bits - 5) rows at most
-        out[r.w] = r.bits
-    return out.view(np.uint8)
-
-
-def in_bitmap(x: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
-    at = (x.view(U) >> U(7)) & U(2**bits - 1)
-    return ((held[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def common_hashes(sets: DataFrame, percent: int, most: int = 8, rounds: int = 2) -> np.ndarray:
+def common_hashes(sets: DataFrame, percent: int, scratch: Scratch, most: int = 8, rounds: int = 2) -> np.ndarray:
     """A bitmap of hashes that stand in more than ``most`` prefixes, and of several families; prefixes move on as it fills."""
     common = np.zeros(2 ** (COMMON_BITS - 3), np.uint8)
     for _ in range(rounds):
         lists = in_prefixes(sets, percent, common, False)
         lists = lists.groupBy("h").agg(F.count("*").alias("n"), (F.min("family") != F.max("family")).alias("mixed")).where((F.col("n") > most) & F.col("mixed"))
         before = common
-        common = common | bitmap(lists.select("h"), COMMON_BITS)
+        many = scratch.save(lists.select("h"), "common")  # so that the shuffle files of all prefixes go
+        common = common | bitmap(many, COMMON_BITS)
+        scratch.drop(many)
         if (before == common).all():
             break
     return common
@@ -306,13 +292,13 @@ def families(sets: DataFrame, percent: int, sketches: int = 3, pivots: int = 3)
 LONG = 2048  # entries of a list that one task compares
 
 
-def candidates(sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def candidates(sets: DataFrame, percent: int, scratch: Scratch, block: int = 256) -> DataFrame:
     """Step 4: pairs a < b of pivots (``star``) of different families that may have members that link.
 
     ``sets`` has doc_id, family, star, size, parity and hashes. A list of more than LONG entries is cut into lots by
     document, and each two of its lots are a list of their own; side is 0 in a whole list or lot, 1 and 2 where two meet.
     """
-    common = common_hashes(sets, percent)
+    common = common_hashes(sets, percent, scratch)
     sent = sets.sparkSession.sparkContext.broadcast(common)
     entry_schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("star", pa.int64()), ("family", pa.int64()), *((f"p{k}", pa.int64()) for k in range(FOLD))])
 
@@ -535,16 +521,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     members = sets.select("doc_id", "size").join(chosen, "doc_id", "left")
     members = scratch.save(members.select("doc_id", "size", F.coalesce("m.b", "doc_id").alias("star"), F.coalesce("m.apart", none).alias("apart"), F.coalesce("m.plus", nothing).alias("plus"), F.coalesce("m.minus", nothing).alias("minus")), "members")
     grouped = scratch.save(sets.join(members.select("doc_id", "star"), "doc_id").join(near, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id")), "grouped")
+    scratch.drop(sets)  # grouped has the same rows
     reach = members.groupBy("star").agg(F.max((100 - percent) * F.col("size") + (100 + percent) * F.col("apart")).alias("reach")).withColumnRenamed("star", "doc_id")
-    facts = scratch.save(sets.select("doc_id", "size", "parity").join(reach, "doc_id"), "facts")
-    met = scratch.save(differences(near_enough(candidates(grouped, percent), facts, percent, "a", "b"), sets, percent).join(facts.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b").select("a", "b", "plus", "minus", ((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).alias("links")), "met")
+    facts = scratch.save(grouped.select("doc_id", "size", "parity").join(reach, "doc_id"), "facts")
+    met = scratch.save(differences(near_enough(candidates(grouped, percent, scratch), facts, percent, "a", "b"), grouped, percent).join(facts.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a").join(facts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b").select("a", "b", "plus", "minus", ((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).alias("links")), "met")
     links = linked.select("a", "b").unionByName(met.where("links").select("a", "b"))
     so_far = components(links, scratch)
     part = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     undecided = met.where("not links").join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(a_in, a) <> coalesce(b_in, b)").select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("plus").alias("p_only"), F.col("minus").alias("q_only"))
     more = member_links(undecided, members, scratch, percent)
     final = components(links.unionByName(more), scratch).toDF("class", "component")
-    scratch.drop(sets, grouped, members, facts, linked, met, more)
+    scratch.drop(grouped, members, facts, linked, met, more)
     classes = classes.join(final, "class", "left").select("size", "f1", "f2", F.coalesce("component", "class").alias("component"))
     done = open_rows.join(classes, ["size", "f1", "f2"]).select("doc_id", "size", "component", "settled")
     out = state.where("settled").select("doc_id", "size", F.col("doc_id").alias("component"), "settled").unionByName(done)

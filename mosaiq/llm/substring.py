@@ -22,14 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, shuffle_partitions, text_blocks
+from .common import Scratch, batch, may_be_in, shuffle_partitions, text_blocks
 from .words import U, as_bytes, mix, powers, ranges, segment, shingles
 
 SALT = np.random.default_rng(303).integers(0, 2**64, 64, U)
-PAIR = [("a", pa.int64()), ("b", pa.int64()), ("fn", pa.int32()), ("ca", pa.int32()), ("cb", pa.int32()), ("wl", pa.int32()), ("wr", pa.int32())]
 
 
 def compact_windows(g: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def unpacked(data: bytes, kind, many: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(many * np.dtype(kind).itemsize, -1).T).view(kind)
 
 
-BLOB = pa.schema([("bucket", pa.int32()), ("fn", pa.int32()), ("key", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), *PAIR[:2], *PAIR[3:]])
+BLOB = pa.schema([("bucket", pa.int32()), ("fn", pa.int32()), ("key", pa.binary()), ("doc", pa.binary()), ("at", pa.binary())])
 
 
 SURE = 32  # added to a function's number where a pair needs no second function
@@ -190,7 +190,14 @@ SURE = 32  # added to a function's number where a pair needs no second function
 
 def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int, buckets: int, scratch: Scratch) -> DataFrame:
     """Pairs a > b of documents and matching places in them: a, b, fn, ca, cb, wl, wr; and, with b null, the windows (key, fn, a, ca, wl, wr) of runs with pairs that are not tried."""
-    order = [f.name for f in BLOB]
+    def blobs(fn: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket that occurs, with its part of the columns."""
+        o = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[o], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edge))
+        rows = {"bucket": full.astype(np.int32), "fn": np.full(len(full), fn, np.int32)} | {k: [packed(x[o[edge[i] : edge[i + 1]]]) for i in full] for k, x in zip(("key", "doc", "at"), columns, strict=True)}
+        for i in range(0, len(full), 64):
+            yield batch(BLOB, **{k: v[i : i + 64] for k, v in rows.items()})
 
     def flush(lots) -> Iterator[pa.RecordBatch]:
         for fn, parts in enumerate(lots):
@@ -201,19 +208,10 @@ def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int,
             key, doc, at = key[o], doc[o], at[o]
             a, b, head = by_class(key, doc, at)
             a, b, wl, wr = shared(at, a, b, t)
-            rows = {x: pa.nulls(len(a), BLOB.field(x).type) for x in order} | {"fn": np.full(len(a), fn + SURE, np.int32), "a": doc[a], "b": doc[b], "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr}
-            for i in range(0, len(a), 16384):
-                yield batch(BLOB, **{k: v[i : i + 16384] for k, v in rows.items()})
+            # pairs made here only pass through a bucket, any one: 4096 go to the same, those of a task to one after the other
+            yield from blobs(fn + SURE, (np.arange(len(a)) // 4096 + int(key[0] % U(buckets))) % buckets, doc[a], doc[b], np.column_stack([at[a, 0], at[b, 0], wl, wr]).astype(np.int32))
             key, doc, at = key[head], doc[head], at[head]
-            bucket = ((key >> U(8)) % U(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            key, doc, at, bucket = key[o], doc[o], at[o], bucket[o]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edge))
-            cut = [slice(edge[k], edge[k + 1]) for k in full]
-            rows = {x: [None] * len(full) for x in order} | {"bucket": full.astype(np.int32), "fn": np.full(len(full), fn, np.int32), "key": [packed(key[s]) for s in cut], "doc": [packed(doc[s]) for s in cut], "at": [packed(at[s]) for s in cut]}
-            for i in range(0, len(full), 64):
-                yield batch(BLOB, **{k: v[i : i + 64] for k, v in rows.items()})
+            yield from blobs(fn, ((key >> U(8)) % U(buckets)).astype(np.int64), key, doc, at)
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots, held = [[] for _ in range(functions)], 0
@@ -233,10 +231,19 @@ def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int,
         if held:
             yield from flush(lots)
 
-    def meet(table: pa.Table) -> pa.Table:
+    def rows_of(table: pa.Table, kind, wide: int) -> tuple[np.ndarray, ...]:
+        """fn, key (of this kind), doc and at (so many columns) of blobs."""
         fn = np.repeat(table.column("fn").to_numpy(), [len(x.as_py()) // 8 for x in table.column("key")])
-        key, doc, at = (np.concatenate([unpacked(x, kind, many) for x in table.column(k).to_pylist()]) for k, kind, many in (("key", U, 1), ("doc", np.int64, 1), ("at", np.int32, 4 + len(contexts(t)))))
-        key, doc = key[:, 0], doc[:, 0]
+        key, doc, at = (np.concatenate([np.empty((0, many), k), *(unpacked(x, k, many) for x in table.column(name).to_pylist())]) for name, k, many in (("key", kind, 1), ("doc", np.int64, 1), ("at", np.int32, wide)))
+        return fn, key[:, 0], doc[:, 0], at
+
+    def meet(table: pa.Table) -> pa.Table:
+        made = pa.array(table.column("fn").to_numpy() >= SURE)
+        fn, a, b, at = rows_of(table.filter(made), np.int64, 4)
+        passed = pa.table({"a": a, "b": b, "fn": fn, "ca": at[:, 0], "cb": at[:, 1], "wl": at[:, 2], "wr": at[:, 3], "key": pa.nulls(len(a), pa.int64())})
+        fn, key, doc, at = rows_of(table.filter(pc.invert(made)), U, 4 + len(contexts(t)))
+        if not len(key):
+            return passed
         o = np.lexsort((at[:, 0], doc, key))
         key, doc, at, fn = key[o], doc[o], at[o], fn[o]
         a, b, kept = by_class(key, doc, at)
@@ -247,15 +254,10 @@ def joined_windows(docs: DataFrame, n: int, t: int, widest: int, functions: int,
         tables = [pa.table({"a": doc[a], "b": doc[b], "fn": fn[a] + np.int32(more), "ca": at[a, 0], "cb": at[b, 0], "wl": wl, "wr": wr, "key": pa.nulls(len(a), pa.int64())}) for a, b, wl, wr, more in found]
         c, left, right = at[rest, 0], at[rest, 1], at[rest, 2]
         none = {x: pa.nulls(len(rest), k) for x, k in (("b", pa.int64()), ("cb", pa.int32()))}
-        return pa.concat_tables([*tables, pa.table({"a": doc[rest], "b": none["b"], "fn": fn[rest], "ca": c, "cb": none["cb"], "wl": c - left, "wr": right - c, "key": key[rest].view(np.int64)})])
-
-    ddl = "bucket int, fn int, key binary, doc binary, at binary, a bigint, b bigint, ca int, cb int, wl int, wr int"
-    made = scratch.save(docs.mapInArrow(windows, ddl), "windows")
-    near = made.where("bucket is null").selectExpr("a", "b", "fn", "ca", "cb", "wl", "wr", "cast(null as bigint) key")
-    far = made.where("bucket is not null").select("bucket", "fn", "key", "doc", "at").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int, key bigint")
-    out = scratch.save(near.unionByName(far), "pairs")
-    scratch.drop(made)
-    return out
+        return pa.concat_tables([passed, *tables, pa.table({"a": doc[rest], "b": none["b"], "fn": fn[rest], "ca": c, "cb": none["cb"], "wl": c - left, "wr": right - c, "key": key[rest].view(np.int64)})])
+
+    made = docs.mapInArrow(windows, "bucket int, fn int, key binary, doc binary, at binary")
+    return scratch.save(made.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int, key bigint"), "pairs")
 
 
 def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: int, t: int, widest: int, most: int, drift: int) -> DataFrame:
@@ -457,7 +459,7 @@ def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: i
 
     rows = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("key", "fn", "ca", "wl", "wr")).alias("rows"))
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    each = docs.join(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "rows", "spans").mapInArrow(content, "bucket int, key bigint, doc bigint, c int, wl int, wr int, data binary, gone binary")
+    each = docs.where(may_be_in(windows.select("a"))).join(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "rows", "spans").mapInArrow(content, "bucket int, key bigint, doc bigint, c int, wl int, wr int, data binary, gone binary")
     return each.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int")
 
 
@@ -514,7 +516,7 @@ def slices(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     spans = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("doc", "doc_id")
-    return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc bigint, lo int, hi int, data binary")
+    return docs.where(may_be_in(wanted.select("doc"))).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc bigint, lo int, hi int, data binary")
 
 
 def shared_spans(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> list[tuple[int, int]]:
@@ -609,4 +611,5 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([len(x) if s else y for x, s, y in zip(out, b.column("_spans").to_pylist(), old, strict=True)], b.column("n_chars").type)
             yield pa.RecordBatch.from_pydict({c: cols[c] for c in schema.names}).filter(pa.array(keep))
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(cut, schema)
+    held = may_be_in(passages.select("doc_id"))
+    return docs.where(~held).unionByName(docs.where(held).join(spans, "doc_id", "left").mapInArrow(cut, schema))

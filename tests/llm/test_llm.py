@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import itertools
+import os
+import pathlib
 import re
 import time
 import zlib
@@ -579,3 +581,47 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
     odd = frame(spark, AWKWARD)
     assert {r.doc_id for r in corpus_pipeline.language(spark, odd, SF).collect()} <= {5, 6, 7}
+
+
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark):
+    """Only rows that a stage may cut or drop go through the shuffle of its join; null ids and repeated ids stay."""
+    import corpus_pipeline
+
+    held = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    rng, auto, broad = np.random.default_rng(8), "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.autoBroadcastJoinThreshold"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()
+    rows = [(i, rng.bytes(1500).hex()) for i in range(1000)] + [(7, "the same id again " * 3), (None, "no id " * 3), (1001, item.text)]
+    docs = Scratch(spark, "t").save(frame(spark, rows), "docs")
+    passages = Scratch(spark, "t").save(spark.createDataFrame([(7, 0, 4, 1), (9, 0, 1, 2)], "doc_id bigint, start int, end int, source_id bigint"), "passages")
+    spark.conf.set(auto, "-1")
+    spark.conf.set(broad, "-1")
+    try:
+        for out, want in (
+            (lambda: substring.without_repeats(docs, passages), [(i, t) for i, t in rows if i not in (7, 9)] + [(7, "the same id again the same id again")]),
+            (lambda: corpus_pipeline.decontaminated(spark, docs, SF), [r for r in rows if r[0] != 1001]),
+        ):
+            before = held()
+            got = [(r.doc_id, r.text) for r in out().collect()]
+            size = sum(os.path.getsize(f) for f in held() - before if f.endswith(".data") and os.path.exists(f))
+            assert sorted((i or -1, t.strip()) for i, t in got) == sorted((i or -1, t.strip()) for i, t in want)
+            assert size < 300_000  # of 3,000,000 characters, 1,500,000 bytes if they are compressed well
+    finally:
+        spark.conf.unset(auto)
+        spark.conf.unset(broad)
+
+
+def test_scratch_tables_of_joins_stay_small(spark, monkeypatch):
+    """The windows of all texts go straight to their join, and sets are not kept twice while stars are compared."""
+    seen, save = {}, Scratch.save
+
+    def watched(self, df, name):
+        out = save(self, df, name)
+        seen[name] = {p.name[4:]: sum(f.stat().st_size for f in p.glob("*.parquet")) for p in pathlib.Path(self.base.removeprefix("file:")).iterdir()}
+        return out
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    rows = [(i, made(500 + i, 3000)) for i in range(20)]
+    assert substring.repeated_passages(frame(spark, rows)).count() == 0
+    assert max(sum(x.values()) for x in seen.values()) < 0.2 * sum(len(t) for _, t in rows)
+    assert len({r.component_id for r in setjoin.jaccard_components(frame(spark, near_copies(3))).collect()}) > 1
+    assert "grouped" in seen["met"] and "sets" not in seen["met"]
