@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,24 +94,25 @@ def in_bitmap(x: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
 ID_BITS = 24
 
 
-def may_be_in(ids: DataFrame, column: str = "doc_id") -> Column:
-    """Whether a row's id may be among the ids (the first column): false only where it isn't.
+def parted(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose id may be among the ids (the first column), and those whose id isn't.
 
-    A bitmap of fixed size is sent, so that rows with other ids need not be shuffled to meet the ids in a join.
+    So that only the former need be shuffled to meet the ids in a join. A bitmap of the ids is broadcast: words of 64
+    bits, at most 2**(ID_BITS - 6) of them for any number of ids.
     """
-    sent = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("bigint"))), ID_BITS))
-
-    @F.arrow_udf("boolean")
-    def held(x: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(x.to_numpy(zero_copy_only=False), sent.value, ID_BITS))
-
-    return held(F.xxhash64(F.col(column).cast("bigint")))
+    place = lambda c: F.xxhash64(F.col(c).cast("bigint"))
+    word = lambda c: F.shiftrightunsigned(place(c), 6).bitwiseAND(F.lit(2 ** (ID_BITS - 6) - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    first = ids.columns[0]
+    words = F.broadcast(ids.select(word(first).alias("_word"), bit(first).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    held = (word(column) == F.col("_word")) & (bit(column).bitwiseAND(F.col("_bits")) != 0)
+    return docs.join(words, held, "left_semi"), docs.join(words, held, "left_anti")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't among the ids (a column doc_id); a null id stays."""
-    held = may_be_in(ids)
-    return docs.where(~held).unionByName(docs.where(held).join(ids, "doc_id", "left_anti").select(*docs.columns))
+    held, rest = parted(docs, ids)
+    return rest.unionByName(held.join(ids, "doc_id", "left_anti").select(*docs.columns))
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

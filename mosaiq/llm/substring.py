@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, may_be_in, shuffle_partitions, text_blocks
+from .common import Scratch, batch, parted, shuffle_partitions, text_blocks
 from .words import U, as_bytes, mix, powers, ranges, segment, shingles
 
 SALT = np.random.default_rng(303).integers(0, 2**64, 64, U)
@@ -459,7 +459,7 @@ def further_pairs(docs: DataFrame, windows: DataFrame, passages: DataFrame, n: i
 
     rows = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("key", "fn", "ca", "wl", "wr")).alias("rows"))
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    each = docs.where(may_be_in(windows.select("a"))).join(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "rows", "spans").mapInArrow(content, "bucket int, key bigint, doc bigint, c int, wl int, wr int, data binary, gone binary")
+    each = parted(docs, windows.select("a"))[0].join(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "rows", "spans").mapInArrow(content, "bucket int, key bigint, doc bigint, c int, wl int, wr int, data binary, gone binary")
     return each.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, fn int, ca int, cb int, wl int, wr int")
 
 
@@ -516,7 +516,7 @@ def slices(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     spans = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("doc", "doc_id")
-    return docs.where(may_be_in(wanted.select("doc"))).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc bigint, lo int, hi int, data binary")
+    return parted(docs, wanted.select("doc"))[0].join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc bigint, lo int, hi int, data binary")
 
 
 def shared_spans(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> list[tuple[int, int]]:
@@ -611,5 +611,5 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([len(x) if s else y for x, s, y in zip(out, b.column("_spans").to_pylist(), old, strict=True)], b.column("n_chars").type)
             yield pa.RecordBatch.from_pydict({c: cols[c] for c in schema.names}).filter(pa.array(keep))
 
-    held = may_be_in(passages.select("doc_id"))
-    return docs.where(~held).unionByName(docs.where(held).join(spans, "doc_id", "left").mapInArrow(cut, schema))
+    held, others = parted(docs, passages.select("doc_id"))
+    return others.unionByName(held.join(spans, "doc_id", "left").mapInArrow(cut, schema))
