@@ -139,3 +139,29 @@ def test_random_matrices(spark):
     assert mq.random.create_spherical_dataset(10).shape == (40, 3)
     c = mq.random.create_clusters(50, 2, 2, [[0, 0], [9, 9]], [1, 1]).numpy()
     assert c.shape == (50, 2) and (c > 5).any() and (c < 4).any()
+
+
+def test_pairs_meet_without_copies_of_rows(spark):
+    """Rows are packed once and blocks meet in a nested loop: no row is exploded or shuffled for its pairs."""
+    plan = distance.pair_blocks(mq.array(T[:9, :3]), None, distance.rounded(distance.euclidean, 5), 4)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "shuffle" not in plan[: plan.index("CartesianProduct")].split("== Physical Plan ==")[-1].lower()
+
+
+def test_rounding_as_in_sql():
+    np.testing.assert_array_equal(distance.rounding(np.array([0.5, -1.5, 2.4, -0.2, 0.49999999999999994, np.inf]), 0), [1, -2, 2, 0, 0, np.inf])
+    assert not np.signbit(distance.rounding(np.array([-0.2]), 0))[0]
+
+
+@pytest.mark.parametrize("definition", ["simple", "norm_sym"])
+@pytest.mark.parametrize("more", [{}, {"mode": "eNeighbour", "threshold_key": "lower", "threshold_value": 0.3}, {"mode": "eNeighbour", "weighted": False, "threshold_key": "lower", "threshold_value": 0.3}])
+def test_laplacian_of_cells_of_blocks_and_as_operator(spark, definition, more):
+    """The same matrix from cells, from blocks of pairs, and through its products, which keep no cell."""
+    x = mq.array(T[:9, :3])
+    cells = lambda v: mq.Array(mq.rbf(v).cells(), (9, 9), "float64")
+    want = mq.Laplacian(cells, definition=definition, **more).construct(x).numpy()
+    lap = mq.Laplacian(mq.rbf, definition=definition, **more)
+    close(lap.construct(x), want)
+    close(lap.construct(x, digits=3), np.round(want, 3), 1e-3)
+    v = np.arange(9.0)
+    close(lap.operator(x)(v), want @ v)
+    assert mq.Laplacian(cells).operator(x) is None
