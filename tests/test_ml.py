@@ -152,3 +152,29 @@ def test_streams_and_loaders(spark, rows, tmp_path):
     assert a.count() == b.count() and a.count() + c.count() == 60 and c.count() == e.count()
     plateau = streaming.DetectMetricPlateau(patience=2)
     assert [plateau.test_if_improving(x) for x in (5, 4, 4, 4, 4)] == [False, False, False, False, True]
+
+
+def test_sums_over_pairs_make_no_rows_of_cells(rows, monkeypatch):
+    """Silhouettes and spectral clustering take sums where blocks meet: neither the cells nor the Laplacian are built."""
+    from mosaiq.operators import distance
+
+    def no(*a, **b):
+        raise AssertionError("cells of all pairs")
+
+    monkeypatch.setattr(distance.Laplacian, "construct", no)
+    s = ml.Spectral(4, gamma=0.05, n_lanczos=40).fit(mq.array(X))
+    assert len(set(zip(matrix(s.labels_, "label"), Y, strict=True))) == 4
+    monkeypatch.setattr(distance, "pair_blocks", no)
+    assert ml.silhouette_samples(rows, rows).count() == len(X)
+
+
+def test_silhouette_of_text_labels_and_of_rows_without_one(rows):
+    names = rows.select("row_id", F.when(F.col("row_id") == 3, None).otherwise(F.concat(F.lit("c"), F.col("label"))).alias("label"))
+    keep = np.arange(len(X)) != 3
+    got = {r.row_id: r.silhouette for r in ml.silhouette_samples(rows, names).collect()}
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    assert len(got) == len(X) and got[3] == 0
+    for i in np.flatnonzero(keep):
+        a = d[i][(Y == Y[i]) & keep].sum() / (((Y == Y[i]) & keep).sum() - 1)
+        b = min(d[i][(Y == k) & keep].mean() for k in range(4) if k != Y[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-8
