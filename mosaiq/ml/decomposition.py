@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..array import Array
 from ..operators.linalg import gram, rows_of, small, times
 from .base import BaseEstimator, RegressionMixin, TransformMixin, by_feature, literal, vectors
 
+#: Bytes of the sums of chunks that are gathered at a time.
+CHUNK_BYTES = 1 << 26
+
 
 def signed(v: np.ndarray) -> np.ndarray:
     """Rows with their largest entry positive."""
@@ -75,7 +79,10 @@ class IncrementalPCA(_Projection):
         rows = vectors(x)
         t = by_feature(rows, F.avg("v").alias("m"), F.count("*").alias("n")).toPandas().sort_values("j")
         mean, n = t["m"].to_numpy(float), int(t["n"].iloc[0])
-        g = gram(rows.select("row_id", F.zip_with("x", literal(mean), lambda v, m: v - m).alias("x")))
+        return self._add(n, mean, gram(rows.select("row_id", F.zip_with("x", literal(mean), lambda v, m: v - m).alias("x"))))
+
+    def _add(self, n: int, mean: np.ndarray, g: np.ndarray):
+        """A batch by its number of rows, its mean and its products of centred features."""
         if self.n_samples_seen_:
             old = (self.components_ * self.singular_values_[:, None]).T
             d, total = mean - self.mean_, n + self.n_samples_seen_
@@ -90,14 +97,31 @@ class IncrementalPCA(_Projection):
         return self
 
     def fit(self, x, chunk_size=None, dataset=None):
-        """A frame or array in chunks of rows; all at once without a chunk size."""
+        """A frame or array in chunks of rows; all at once without a chunk size.
+
+        Tasks sum up the chunks, many in a job; here they are added in their order, a bounded number of bytes at a time.
+        """
         rows = vectors(x)
         size = chunk_size or self.batch_size
         if not size:
             return self.partial_fit(rows)
-        top = rows.agg(F.max("row_id")).first()[0] or 0
-        for start in range(0, top + 1, size):
-            self.partial_fit(rows.where(F.col("row_id").between(start, start + size - 1)))
+        top, width = rows.agg(F.max("row_id"), F.max(F.size("x"))).first()
+        if top is None:
+            return self
+
+        def summed(table: pa.Table) -> pa.Table:
+            v = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+            mean = v.mean(0)
+            v = v - mean
+            return pa.table({"c": table.column("c")[:1], "n": pa.array([len(v)], pa.int64()), "m": pa.array([mean.tobytes()], pa.binary()), "g": pa.array([(v.T @ v).tobytes()], pa.binary())})
+
+        many = max(1, CHUNK_BYTES // (8 * max(1, width) ** 2)) * size
+        chunk = F.call_function("div", F.col("row_id"), F.lit(size)).alias("c")
+        for start in range(0, top + 1, many):
+            some = rows.where(F.col("row_id").between(start, start + many - 1)).select(chunk, "x")
+            sums = some.groupBy("c").applyInArrow(summed, "c bigint, n bigint, m binary, g binary")
+            for r in sorted(sums.collect(), key=lambda r: r.c):
+                self._add(r.n, np.frombuffer(r.m), np.frombuffer(r.g).reshape(width, width))
         return self
 
 

@@ -178,3 +178,26 @@ def test_silhouette_of_text_labels_and_of_rows_without_one(rows):
         a = d[i][(Y == Y[i]) & keep].sum() / (((Y == Y[i]) & keep).sum() - 1)
         b = min(d[i][(Y == k) & keep].mean() for k in range(4) if k != Y[i])
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-8
+
+
+def test_incremental_pca_takes_few_jobs_for_many_chunks(rows, spark, monkeypatch):
+    """The same as chunk by chunk, with gaps between the ids, in a number of jobs that doesn't grow with the chunks."""
+    from mosaiq.ml import decomposition
+
+    gaps = rows.select((F.col("row_id") + F.when(F.col("row_id") >= 20, 30).otherwise(0)).alias("row_id"), "x").cache()
+    one = ml.IncrementalPCA(2)
+    for k in range(0, 90, 6):
+        if (part := gaps.where(F.col("row_id").between(k, k + 5))).count():
+            one.partial_fit(part)
+    calls = []
+    for limit in (1 << 26, 4 * 72):
+        monkeypatch.setattr(decomposition, "CHUNK_BYTES", limit)
+        spark.sparkContext.setJobGroup(f"pca{limit}", "")
+        two = ml.IncrementalPCA(2).fit(gaps, chunk_size=6)
+        calls.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pca{limit}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert two.n_samples_seen_ == one.n_samples_seen_ == len(X)
+        np.testing.assert_allclose(two.components_, one.components_, rtol=1e-8, atol=1e-10)
+        np.testing.assert_allclose(two.singular_values_, one.singular_values_, rtol=1e-8)
+        np.testing.assert_allclose(two.mean_, one.mean_, atol=1e-10)
+    assert 0 < calls[0] < 10
