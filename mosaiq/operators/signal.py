@@ -2,7 +2,7 @@
 
 A convolution along a line cuts the output in blocks, each made by one task from its cells and the few before them, so
 a cell is shuffled at most twice whatever the kernel's length. Planes, and kernels over LONGEST, explode every cell over
-the kernel and sum what meets. No line has to fit a task, except for transforms: these take one line a task.
+the kernel and sum what meets. No line has to fit a task, except for transforms: these take whole lines, short ones together.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..array import Array, array, idx, sanitize_axis
+from ..array import Array, array, idx, linear, sanitize_axis, unravel
 from ..functions import types as ty
 from .factories import cells_of
 
 #: Cells of a block of the output (or the kernel's length, if that is more), and the longest kernel sent to tasks.
 BLOCK, LONGEST = 1 << 16, 1_000_000
+#: Cells of the lines that are transformed together.
+TOGETHER = 1 << 16
 
 
 def _bounds(n: int, m: int, mode: str) -> tuple[int, int]:
@@ -97,24 +99,27 @@ def _conv(a: Array, v: Array, modes, strides) -> Array:
 
 
 def _line(a: Array, axis: int, f, n: int, complex_out: bool) -> Array:
-    """A function of each line along an axis, a line in one task."""
+    """A function of each line along an axis: a group has whole lines, as many as TOGETHER cells, and they are done at once."""
     axis = sanitize_axis(a.shape, axis)
-    others = [f"i{k}" for k in range(a.ndim) if k != axis]
-    length, was_complex = a.shape[axis], ty.is_complex(a.dtype)
+    others = [k for k in range(a.ndim) if k != axis]
+    length, was_complex, rest = a.shape[axis], ty.is_complex(a.dtype), [a.shape[k] for k in others]
     value = F.struct(F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im")) if was_complex else F.struct(F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    frame = a.cells().select(*[F.col(c) for c in others], F.col(f"i{axis}").alias("_p"), value.re.alias("re"), value.im.alias("im"))
-    keys = others or ["_one"]
-    frame = frame if others else frame.withColumn("_one", F.lit(0).cast("bigint"))
+    line = linear(rest, [f"i{k}" for k in others])
+    group = F.call_function("div", line, F.lit(max(1, TOGETHER // max(1, length, n))))
+    frame = a.cells().select(group.alias("_g"), line.alias("_l"), F.col(f"i{axis}").alias("_p"), value.re.alias("re"), value.im.alias("im"))
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.zeros(length, complex)
-        x[table.column("_p").to_numpy()] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
-        y = np.asarray(f(x if was_complex else x.real))
-        out = {k: np.full(len(y), table.column(k)[0].as_py(), np.int64) for k in keys}
-        return pa.table(out | {"_p": np.arange(len(y)), "re": y.real.astype(float), "im": (y.imag if np.iscomplexobj(y) else np.zeros(len(y))).astype(float)})
-
-    done = frame.groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} bigint" for k in keys), "_p bigint, re double, im double"]))
-    cols = [F.col("_p").alias(c) if k == axis else F.col(c) for k, c in enumerate(idx(a.ndim))]
+        lines, at = np.unique(table.column("_l").to_numpy(), return_inverse=True)
+        x = np.zeros((len(lines), length), complex if was_complex else float)
+        re = table.column("re").to_numpy()
+        x[at, table.column("_p").to_numpy()] = re + 1j * table.column("im").to_numpy() if was_complex else re
+        y = np.asarray(f(x))
+        m = y.shape[1]
+        return pa.table({"_l": np.repeat(lines, m), "_p": np.tile(np.arange(m), len(lines)), "re": y.real.ravel().astype(float), "im": y.imag.ravel().astype(float) if np.iscomplexobj(y) else np.zeros(y.size)})
+
+    done = frame.groupBy("_g").applyInArrow(run, "_l bigint, _p bigint, re double, im double")
+    back = dict(zip(others, unravel(F.col("_l"), rest), strict=True))
+    cols = [(F.col("_p") if k == axis else back[k]).alias(c) for k, c in enumerate(idx(a.ndim))]
     v = F.struct("re", "im") if complex_out else F.col("re")
     return Array(done.select(*cols, v.alias("v")), [n if k == axis else m for k, m in enumerate(a.shape)], "complex128" if complex_out else "float64")
 
@@ -127,7 +132,7 @@ def _one(name: str, length, complex_out: bool, real_in: bool = False):
             raise TypeError(f"{name} takes real numbers")
         m = x.shape[axis] if n is None else n
         size = length(m) if n is None or name in ("rfft", "ihfft") else n
-        return _line(x, axis, lambda line: g(line, n=n, norm=norm), size, complex_out)
+        return _line(x, axis, lambda lines: g(lines, n=n, axis=-1, norm=norm), size, complex_out)
 
     call.__name__, call.__doc__ = name, f"{name} along an axis, with length n and norm as in NumPy."
     return call

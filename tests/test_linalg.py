@@ -165,3 +165,26 @@ def test_laplacian_of_cells_of_blocks_and_as_operator(spark, definition, more):
     v = np.arange(9.0)
     close(lap.operator(x)(v), want @ v)
     assert mq.Laplacian(cells).operator(x) is None
+
+
+def test_short_lines_are_transformed_together(spark, monkeypatch):
+    """40 lines of 5 cells are one group, not 40; and several groups, with a missing cell, give the same."""
+    for together in (1 << 16, 20):
+        monkeypatch.setattr(signal, "TOGETHER", together)
+        x = mq.array(T)
+        x = mq.Array(x.cells().where("i0 <> 7 or i1 <> 2"), x.shape, "float64")
+        want = T.copy()
+        want[7, 2] = 0
+        close(signal.fft(x), np.fft.fft(want))
+        close(signal.ifft(signal.fft(x, axis=0), axis=0).real, want)
+        close(signal.fft(x, n=8), np.fft.fft(want, n=8))
+    close(signal.rfftn(mq.array(T.reshape(4, 10, 5))), np.fft.rfftn(T.reshape(4, 10, 5)))
+    monkeypatch.setattr(signal, "TOGETHER", 1 << 16)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(lines):
+        seen.add(1)
+        return lines
+
+    signal._line(mq.array(T), 1, counted, 5, False).cells().collect()
+    assert seen.value == 1
