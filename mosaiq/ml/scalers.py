@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
 from .base import BaseEstimator, TransformMixin, by_feature, literal, vectors
 
 TINY = 1e-14
@@ -89,9 +90,14 @@ class RobustScaler(_Affine):
     def fit(self, x):
         if self.unit_variance:
             raise NotImplementedError("no unit variance")
-        q = lambda p: F.percentile_approx("v", p / 100) if self.sketched else F.percentile("v", p / 100)
-        t = _fitted(vectors(x), q(50).alias("mid"), q(self.quantile_range[0]).alias("lo"), q(self.quantile_range[1]).alias("hi"))
-        self.center_, self.iqr_ = t["mid"], t["hi"] - t["lo"]
+        qs = [50, *self.quantile_range]
+        if self.sketched:
+            t = _fitted(vectors(x), *[F.percentile_approx("v", q / 100).alias(f"p{k}") for k, q in enumerate(qs)])
+        else:
+            long = vectors(x).select(F.posexplode("x").alias("j", "v"))
+            table = percentiles(long, ["j"], F.col("v"), qs).toPandas().sort_values("j")
+            t = {c: table[c].to_numpy(float) for c in ("p0", "p1", "p2")}
+        self.center_, self.iqr_ = t["p0"], t["p2"] - t["p1"]
         self.shift = self.center_ if self.with_centering else np.zeros_like(self.center_)
         self.factor = 1 / np.where(self.iqr_ > TINY, self.iqr_, 1.0) if self.with_scaling else np.ones_like(self.center_)
         self.add = np.zeros_like(self.center_)

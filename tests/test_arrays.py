@@ -282,3 +282,30 @@ def test_convolution_in_blocks(spark, monkeypatch, mode, block):
     assert got.dtype == "int64" and (got.numpy() == np.convolve(n, m, mode)).all()
     monkeypatch.setattr(signal, "LONGEST", 1)
     np.testing.assert_allclose(signal.convolve(array(x[0]), array(k), mode).numpy(), np.convolve(x[0], k, mode), atol=1e-12)
+
+
+@pytest.mark.parametrize("accuracy", [2000, 40])
+def test_percentiles_of_large_groups(spark, monkeypatch, accuracy):
+    """Exact in groups larger than the sketch, with ties, NaN, infinities and nulls; no task gets a group's values."""
+    from pyspark.sql import functions as F
+
+    from mosaiq.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(4)
+    data = {"many": rng.normal(size=9000), "ties": rng.integers(0, 5, 9000).astype(float), "few": rng.normal(size=7), "one": np.array([2.0]), None: np.r_[rng.normal(size=3000), [np.inf] * 900, [np.nan] * 900, [-np.inf] * 40]}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("none", None), ("few", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    out = quantiles.percentiles(df, ["g"], F.col("v"), [0, 37, 50, 75, 100])
+    got = {r.g: tuple(r)[1:] for r in out.collect()}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", q / 100).alias(f"p{q}") for q in (0, 37, 50, 75, 100)]).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        np.testing.assert_array_equal(np.array(got[g], float), np.array(want[g], float), err_msg=str(g))
+    assert "percentile(" not in out._jdf.queryExecution().toString()
+
+
+def test_percentile_query_collects_no_group(spark):
+    from mosaiq.plans import queries
+
+    assert "percentile(" not in queries.QUERIES["percentiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
